@@ -4,7 +4,7 @@ Anchors: of the 64-byte grams in each stretch of `length` bytes, the one with th
 bytes have an anchor in common, at the same place in them, so only grams that are anchors twice or more matter, each with
 the window of text that such strings around it can reach. Equal windows are one class, found by digest and counted before
 any text moves. Where an anchor has several classes, one window of each goes to the anchor's task, which builds the
-Burrows-Wheeler order of small shards of windows over an alphabet of 100-byte blocks, merges the shards by iterative
+Burrows-Wheeler order of small shards of windows over an alphabet of 200-byte blocks, merges the shards by iterative
 interleave refinement (each pass reads every shard's preceding blocks in the interleaved order and deals them stably by
 block, which sorts one block deeper, until `length` is reached), and takes common prefixes and repeated intervals from the
 passes in which neighbours part. Suffixes are never sorted again across shards. Intervals with two places are repeats.
@@ -27,12 +27,12 @@ from riskweave.llm.substring import cut_runs, runs_of
 from riskweave.llm.textbytes import longs, utf8
 
 GRAM = 64
-DEPTH = 4
+DEPTH = 2
 #: Positions whose anchors are chosen at once; bits that hold a position.
 PLACE_BITS = 20
 #: Bytes of windows merged at once, and of a shard of them.
-MERGE = 1 << 22
-SHARD = 1 << 20
+MERGE = 1 << 20
+SHARD = 1 << 18
 
 
 def anchors(data: np.ndarray, length: int) -> np.ndarray:
@@ -61,33 +61,41 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
 
 class Blocks:
     """Suffixes of windows over an alphabet of blocks: block[p] is the rank of the block at p, next[p] the suffix one
-    block on, both -1 where the window ends first."""
+    block on. A block that occurs once can't be in a repeat: like the end of a window it starts no suffix (both -1)."""
 
     def __init__(self, windows: list[bytes], size: int):
         sizes = np.array([len(w) for w in windows], np.int64)
-        self.start = np.cumsum(np.r_[0, sizes[:-1]])
-        self.end = self.start + sizes
+        self.end = np.cumsum(sizes)
+        self.start = self.end - sizes
         data = np.frombuffer(b"".join(windows), np.uint8)
-        self.window = np.repeat(np.arange(len(windows)), sizes)
         self.n, self.size = len(data), size
-        place = np.arange(self.n)
-        room = self.end[self.window] - place
-        ids = np.flatnonzero(room >= size)
-        self.block = np.full(self.n, -1, np.int64)
-        hashes = PrefixHash(data).windows(size)
-        self.block[ids] = np.unique(hashes[ids], return_inverse=True)[1]
-        self.next = np.where(room >= 2 * size, place + size, -1)
-        self.prev = np.where(place - size >= self.start[self.window], place - size, -1)
-        self.suffixes = ids
-        self.last = ids[self.next[ids] < 0]
+        self.window = np.repeat(np.arange(len(windows), dtype=np.int32), sizes)
+        room = np.repeat(self.end, sizes) - np.arange(self.n)
+        ids = np.flatnonzero(room >= size).astype(np.int32)
+        del room
+        hashes = PrefixHash(data).windows(size)[ids]
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+        alive = ~(new & np.r_[new[1:], True]) if len(new) else new
+        self.block = np.full(self.n + size, -1, np.int32)
+        self.block[ids[order[alive]]] = np.cumsum(new)[alive]
+        del hashes, order
+        self.suffixes = np.flatnonzero(self.block >= 0).astype(np.int32)
+        self.next = np.full(self.n, -1, np.int32)
+        on = self.suffixes + size
+        on = np.where((self.block[on] >= 0) & (on < self.end[self.window[self.suffixes]]), on, -1)
+        self.next[self.suffixes] = on
+        self.last = self.suffixes[on < 0]
 
     def refine(self, order: np.ndarray, last: np.ndarray) -> np.ndarray:
         """One pass: the suffixes of `order`, sorted by h blocks, sorted by h + 1. Their preceding blocks are read in order,
-        after the suffixes of one block only, and dealt stably by block."""
-        before = self.prev[order]
-        read = np.concatenate([last, before[before >= 0]])
+        after the suffixes that nothing follows, and dealt stably by block."""
+        before = order - self.size
+        before = before[before >= 0]
+        read = np.concatenate([last, before[self.next[before] >= 0]])
         n = len(read)
-        return read[np.argsort(self.block[read] * n + np.arange(n))]
+        return read[np.argsort(self.block[read].astype(np.int64) * n + np.arange(n))]
 
 
 def merged_order(blocks: Blocks, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +110,13 @@ def merged_order(blocks: Blocks, depth: int) -> tuple[np.ndarray, np.ndarray]:
             mine = blocks.refine(mine, last)
         orders.append(mine)
     order = np.concatenate(orders)
-    group = np.zeros(blocks.n + 1, np.int64)  # place -1 stands for the end of a window, which differs from the second pass on
+    group = np.zeros(blocks.n + 1, np.int32)  # place -1 stands for the end of a window, which differs from the second pass on
     passes = []
     for _ in range(depth):
         order = blocks.refine(order, blocks.last)
         b, g = blocks.block[order], group[blocks.next[order]]
         parts = np.r_[True, (b[1:] != b[:-1]) | (g[1:] != g[:-1])]
-        group = np.zeros(blocks.n + 1, np.int64)
+        group = np.zeros(blocks.n + 1, np.int32)
         group[order] = np.cumsum(parts)
         passes.append(group)
     common = np.zeros(len(order), np.int64)
@@ -126,8 +134,10 @@ def repeated_starts(windows: list[bytes], places: np.ndarray, length: int, depth
     if not len(blocks.suffixes):
         return np.zeros(0, np.int64)
     order, common = merged_order(blocks, depth)
-    whole = blocks.end[blocks.window[order]] - order >= length
-    order, common = order[whole], common[whole]  # suffixes too short share no full interval
+    last = order
+    for _ in range(depth - 1):
+        last = np.where(last >= 0, blocks.next[last], -1)
+    order, common = order[last >= 0], common[last >= 0]  # what ends before is in no full interval
     if not len(order):
         return order
     edge = np.flatnonzero(np.r_[True, common[1:] < depth])
@@ -240,7 +250,7 @@ def repeated_spans(docs: DataFrame, *, length: int, id_col: str, text_col: str)
 def dedup(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 of the UTF-8 bytes that are left, joined.
 
-    A byte goes if a string of `length` bytes (a multiple of 4) covers it that also starts anywhere else, in the same text
+    A byte goes if a string of `length` bytes (an even number) covers it that also starts anywhere else, in the same text
     or another; all strings are judged on the input. Null and empty texts have no bytes. A row without id takes no part.
     Rows that repeat an id must repeat its text; each counts as a place of its own. Other columns are ignored.
     """
