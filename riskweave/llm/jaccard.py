@@ -212,12 +212,14 @@ def jaccard_links(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col:
     by = lambda key: F.transform(F.slice(F.array_sort(F.transform("held", key)), F.lit(1), room), lambda x: x["token"])
     named = lambda *keys: lambda x: F.struct(*(k(x).alias(f"k{i}") for i, k in enumerate(keys)), x["token"].alias("token"))
     salted = lambda salt: lambda x: F.xxhash64(x["token"], F.lit(salt))
+    # 256 parity bits of the shared shingles: two sets differ in at least as many shingles as their bits.
+    bits = [F.expr(f"aggregate(filter(held, x -> pmod(xxhash64(x.token, 4), 4) = {w}), 0L, (a, x) -> a ^ shiftleft(1L, cast(pmod(xxhash64(x.token, 5), 64) as int)))").alias(f"b{w}") for w in range(4)]
     index = known.select(
         "id", "n", (F.col("n") - F.size("held")).alias("unique"), F.transform("held", lambda x: x["token"]).alias("tokens"),
-        by(named(lambda x: x["df"], salted(1))).alias("p1"), by(named(lambda x: x["df"], salted(2))).alias("p2"), by(named(salted(3))).alias("p3"),
+        by(named(lambda x: x["df"], salted(1))).alias("p1"), by(named(lambda x: x["df"], salted(2))).alias("p2"), by(named(salted(3))).alias("p3"), *bits,
     )
     index = materialize(index, "jaccard_index")
-    posting = materialize(index.select("id", "n", "unique", F.size("tokens").alias("held"), F.explode("p1").alias("token")), "jaccard_postings")
+    posting = materialize(index.select("id", "n", "unique", F.size("tokens").alias("held"), F.struct("b0", "b1", "b2", "b3").alias("bits"), F.explode("p1").alias("token")), "jaccard_postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: index.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens", "p2", "p3")))
@@ -225,24 +227,28 @@ def jaccard_links(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col:
         inter = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.where(100 * inter >= percent * (F.col("n_a") + F.col("n_b") - inter)).select("a", "b")
 
-    def possible(n1: str, n2: str, h1: str, h2: str) -> Column:
-        """Sizes close enough, and enough shared shingles on both sides for the intersection that they need."""
+    def possible(n1: str, n2: str, h1: str, h2: str, b1: str, b2: str) -> Column:
+        """Sizes close enough, and shingles that differ no more than the needed intersection lets them: each side's unique
+        ones and the bits that differ are a lower bound."""
         least = F.ceil((F.col(n1) + F.col(n2)) * percent / (100.0 + percent) - 1e-9)
-        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(h1, h2) >= least)
+        apart = F.col(n1) - F.col(h1) + F.col(n2) - F.col(h2)
+        for w in range(4):
+            apart = apart + F.bit_count(F.col(f"{b1}.b{w}").bitwiseXOR(F.col(f"{b2}.b{w}")))
+        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(h1, h2) >= least) & (apart <= F.col(n1) + F.col(n2) - 2 * least)
 
     rank = F.col("unique") * (1 << 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    centres = posting.groupBy(F.col("token").alias("t")).agg(F.min_by("id", rank).alias("centre"), F.min_by("n", rank).alias("cn"), F.min_by("held", rank).alias("ch"), F.count("*").alias("m")).where("m > 1")
+    centres = posting.groupBy(F.col("token").alias("t")).agg(F.min_by("id", rank).alias("centre"), F.min_by("n", rank).alias("cn"), F.min_by("held", rank).alias("ch"), F.min_by("bits", rank).alias("cb"), F.count("*").alias("m")).where("m > 1")
     centres = materialize(centres, "jaccard_centres")
-    star = posting.join(centres, F.col("token") == F.col("t")).where((F.col("id") != F.col("centre")) & possible("n", "cn", "held", "ch"))
+    star = posting.join(centres, F.col("token") == F.col("t")).where((F.col("id") != F.col("centre")) & possible("n", "cn", "held", "ch", "bits", "cb"))
     pairs = materialize(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "jaccard_star")
     links = materialize(verified(pairs), "jaccard_links")
     label = components(links)
-    labelled = materialize(posting.join(label, F.col("id") == F.col("v"), "left").select("id", "n", "held", "token", F.coalesce("component", "id").alias("component")), "jaccard_labelled")
+    labelled = materialize(posting.join(label, F.col("id") == F.col("v"), "left").select("id", "n", "held", "bits", "token", F.coalesce("component", "id").alias("component")), "jaccard_labelled")
     split = labelled.groupBy(F.col("token").alias("t")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("t")
     split = materialize(split, "jaccard_split")
     rest = materialize(labelled.join(split, F.col("token") == F.col("t")).drop("t"), "jaccard_rest")
-    left, right = (rest.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "held", "token", "component"))) for x in "ab")
-    cross = left.join(right, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") < F.col("component_b")) & possible("n_a", "n_b", "held_a", "held_b"))
+    left, right = (rest.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "held", "bits", "token", "component"))) for x in "ab")
+    cross = left.join(right, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") < F.col("component_b")) & possible("n_a", "n_b", "held_a", "held_b", "bits_a", "bits_b"))
     cross = cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialize(verified(materialize(cross, "jaccard_cross")), "jaccard_more")
     label = materialize(components(links.unionByName(more)), "jaccard_components")
