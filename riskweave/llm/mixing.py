@@ -19,6 +19,9 @@ from riskweave.llm.scratch import materialize
 #: Multipliers of the index permutation i -> (a * i + c) mod m: primes, of which at least one does not divide m.
 PRIMES = (1_000_003, 998_244_353, 1_000_000_007)
 REPEATS = 3
+#: Documents of a source in a bucket, on average, and shards in a range of them: what one task orders at once.
+BUCKET_DOCS = 250
+WIDE = 1024
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     there, and the excess is shared again by weight: with sources in order of cap / weight, the stopped ones are the longest
     head of that order whose caps are at most what their weights would get.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     by = by.withColumn("s", place).withColumn("weight", (F.col("s") % 3 + 1).cast("double")).withColumn("cap", F.col("source_size") * float(REPEATS))
     order = W.orderBy(F.col("cap") / F.col("weight"), "s")
@@ -40,7 +43,20 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     by = by.withColumn("level", left / weights).withColumn("stops", F.col("cap") <= F.col("level") * F.col("weight"))
     first_free = F.min(F.when(~F.col("stops"), F.struct((F.col("cap") / F.col("weight")).alias("r"), "s", "level"))).over(everyone)["level"]
     target = F.least(F.col("cap"), F.coalesce(first_free * F.col("weight"), F.col("cap")))
-    return by.select("s", "source", "source_size", "weight", target.alias("target"))
+    return by.select("s", "source", "source_size", "n_docs", "weight", target.alias("target"))
+
+
+def sums_before(rows: DataFrame, wide: str, at: str, value: str, name: str) -> DataFrame:
+    """rows (s, wide, at, value) with column `name`: the sum of value over the rows of s that come before, by `at`.
+
+    `wide` numbers ranges of `at`: ranges are summed first, then rows within a range, so that no task gets all rows of s.
+    """
+    heads = rows.groupBy(F.col("s").alias("s_"), F.col(wide).alias("wide_")).agg(F.sum(value).alias("n_"))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.select("s_", "wide_", F.coalesce(F.sum("n_").over(earlier(W.partitionBy("s_").orderBy("wide_"))), F.lit(0)).alias("head_"))
+    inside = F.coalesce(F.sum(value).over(earlier(W.partitionBy("s", wide).orderBy(at))), F.lit(0))
+    rows = rows.withColumn("inside_", inside).join(heads, (F.col("s") == F.col("s_")) & (F.col(wide) == F.col("wide_")))
+    return rows.withColumn(name, F.col("head_") + F.col("inside_")).drop("s_", "wide_", "head_", "inside_")
 
 
 def permuted(j: Column, m: Column, s: Column) -> Column:
@@ -68,12 +84,12 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     targets = materialize(source_targets(sized).coalesce(1), "mix_targets")
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     # Places of words within a source: sums over buckets of documents, then within a bucket, so that no task gets a source.
-    buckets = max(1, sized.count() // 2000)
-    bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("bucket")
-    docs_in = sized.join(targets.select("s", F.col("source").alias("src"), "source_size", "target"), F.col("source").eqNullSafe(F.col("src"))).select("id", "s", "size", "source_size", "target", bucket)
-    sums = docs_in.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-    offset = F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = materialize(sums.select(F.col("s").alias("s_"), F.col("bucket").alias("bucket_"), offset.alias("offset")), "mix_offsets")
+    buckets = F.ceil(F.col("n_docs") / float(BUCKET_DOCS))
+    bucket = F.pmod(F.xxhash64("id", F.lit(seed)), buckets)
+    wide = F.floor(bucket / F.ceil(F.sqrt(buckets)))
+    docs_in = sized.join(targets.select("s", F.col("source").alias("src"), "source_size", "n_docs", "target"), F.col("source").eqNullSafe(F.col("src"))).select("id", "s", "size", "source_size", "target", bucket.alias("bucket"), wide.alias("wide"))
+    sums = materialize(docs_in.groupBy("s", "wide", "bucket").agg(F.sum("size").alias("n")), "mix_sums")
+    sums = materialize(sums_before(sums, "wide", "bucket", "n", "offset").select(F.col("s").alias("s_"), F.col("bucket").alias("bucket_"), "offset"), "mix_offsets")
     inside = W.partitionBy("s", "bucket").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size")
     placed = docs_in.withColumn("in_bucket", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(sums, (F.col("s") == F.col("s_")) & (F.col("bucket") == F.col("bucket_")))
@@ -86,10 +102,13 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     # Count of b with lo <= (b + u_h) / n < hi, with one u for each shard: systematic, so counts are within one of the share.
     n_in = F.least(F.lit(shard), F.lit(slots) - F.col("h") * shard)
     below = lambda x: F.greatest(F.lit(0), F.least(n_in, F.ceil(x * n_in - uniform(F.col("h"), F.lit(seed))))).cast("long")
-    drawn = shares.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)) if shards else F.array().cast("array<int>"))).repartition("s", "h")
-    drawn = drawn.select("h", "s", "source_size", (F.when(F.col("s") == F.col("last"), n_in).otherwise(below(F.col("hi"))) - below(F.col("lo"))).alias("n"))
-    first = F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    drawn = drawn.withColumn("first", first).where("n > 0")
+    # Shard numbers in two steps, so that no row holds an array of all of them.
+    wides = -(-shards // WIDE)
+    none = F.array().cast("array<bigint>")
+    drawn = shares.withColumn("wide", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wides - 1).cast("long")) if shards else none)).repartition("s", "wide")
+    drawn = drawn.withColumn("h", F.explode(F.sequence(F.col("wide") * WIDE, F.least(F.col("wide") * WIDE + (WIDE - 1), F.lit(shards - 1).cast("long")))))
+    drawn = drawn.select("wide", "h", "s", "source_size", (F.when(F.col("s") == F.col("last"), n_in).otherwise(below(F.col("hi"))) - below(F.col("lo"))).alias("n"))
+    drawn = sums_before(drawn, "wide", "h", "n", "first").where("n > 0")
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
     slot = drawn.select("s", blocks.alias("m"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
     taken_blocks = slot.where(F.col("j") < REPEATS * F.col("m")).select("s", permuted(F.col("j") % F.col("m"), F.col("m"), F.col("s")).alias("block"))
