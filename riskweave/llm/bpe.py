@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: White_Space of Unicode, for a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Most words whose encoding a worker keeps; the cache restarts beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def plain_pattern() -> tuple[re.Pattern, re.Pattern]:
@@ -96,7 +96,7 @@ class MergeAutomaton:
         key = q << 32 | t
         hit = self.known.get(key)
         if hit is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             hit = self.known[key] = self._arc(q, t, 1 << 40)
         return hit

@@ -24,7 +24,7 @@ from riskweave.llm.textbytes import longs, utf8
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Bytes hashed at once, and spaces between texts: more than the longest n-gram can bridge.
-BLOCK = 1 << 21
+BLOCK = 1 << 17
 GAP = max(ORDERS)
 
 _LOWER = np.full(256, 32, np.uint8)
@@ -158,14 +158,17 @@ def score(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
     kept = [c for c in keep or docs.columns if c not in ("score", "predicted")]
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    at_text = kept.index(text_col) if text_col in kept and dict(docs.dtypes)[text_col] == "string" else None
+    source = docs.select(row) if at_text is not None else docs.select(row, F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                s = shared.value.score(*utf8(part.column(1)))
-                columns = [*part.column(0).flatten(), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
+                columns = part.column(0).flatten()
+                s = shared.value.score(*utf8(part.column(1) if at_text is None else columns[at_text]))
+                columns += [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
