@@ -35,14 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows of a batch that goes to a Python worker: whole texts, so that far fewer than Spark's 10,000 are enough.
 BATCH_ROWS = 2500
+#: Allocator settings of Python workers, which live on between stages: large arrays go back to the system when freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir. Python workers get this library's folder on their path, wherever the driver was started, and
-    batches of at most BATCH_ROWS rows, or fewer if the session says so."""
+    """A table of sf_dir. Python workers get this library's folder on their path, wherever the driver was started, memory
+    settings, and batches of at most BATCH_ROWS rows, or fewer if the session says so."""
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(batch, min(BATCH_ROWS, int(spark.conf.get(batch)) if int(spark.conf.get(batch)) > 0 else BATCH_ROWS))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for name_, value in {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), **WORKER_MEMORY}.items():
+        spark.sparkContext.environment.setdefault(name_, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
