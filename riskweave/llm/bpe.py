@@ -165,6 +165,11 @@ class WordBpe:
             self.cache[word] = out
         return out
 
+    def forget(self) -> None:
+        """Drop the cached words and arcs; workers live on after a task."""
+        self.cache.clear()
+        self.automaton.known.clear()
+
     def _piece(self, text: str, out: list) -> None:
         get, entry = self.cache.get, self.entry
         text = self.normalize(text)
@@ -230,6 +235,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")

@@ -34,9 +34,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of a batch that goes to a Python worker: whole texts, so that far fewer than Spark's 10,000 are enough.
-BATCH_ROWS = 2500
+BATCH_ROWS = 1000
 #: Allocator settings of Python workers, which live on between stages: large arrays go back to the system when freed.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

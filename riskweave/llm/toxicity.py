@@ -116,10 +116,12 @@ def train(texts: DataFrame, labels: DataFrame, *, max_train: int = 10_000, featu
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            row, bucket = present(*utf8(batch.column(0)))
-            y = longs(batch.column(1))
-            for c in (0, 1):
-                seen[c] += np.bincount(bucket[y[row] == c], minlength=1 << BITS)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, bucket = present(*utf8(part.column(0)))
+                y = longs(part.column(1))
+                for c in (0, 1):
+                    seen[c] += np.bincount(bucket[y[row] == c], minlength=1 << BITS)
         some = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0][some]), pa.array(seen[1][some])], names=["bucket", "clean", "toxic"])
 
