@@ -55,7 +55,7 @@ def sums_before(rows: DataFrame, wide: str, at: str, value: str, name: str) -> D
     earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     heads = heads.select("s_", "wide_", F.coalesce(F.sum("n_").over(earlier(W.partitionBy("s_").orderBy("wide_"))), F.lit(0)).alias("head_"))
     inside = F.coalesce(F.sum(value).over(earlier(W.partitionBy("s", wide).orderBy(at))), F.lit(0))
-    rows = rows.withColumn("inside_", inside).join(heads, (F.col("s") == F.col("s_")) & (F.col(wide) == F.col("wide_")))
+    rows = rows.withColumn("inside_", inside).join(heads.hint("merge"), (F.col("s") == F.col("s_")) & (F.col(wide) == F.col("wide_")))
     return rows.withColumn(name, F.col("head_") + F.col("inside_")).drop("s_", "wide_", "head_", "inside_")
 
 
@@ -114,7 +114,8 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     taken_blocks = slot.where(F.col("j") < REPEATS * F.col("m")).select("s", permuted(F.col("j") % F.col("m"), F.col("m"), F.col("s")).alias("block"))
     taken_blocks = taken_blocks.groupBy("s", "block").agg(F.count("*").alias("times"))
     parts = placed.where("size > 0").select("rid", "s", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    joined = parts.join(taken_blocks, ["s", "block"])
+    # Estimates of exploded rows are far too low: without the hint all blocks would be broadcast.
+    joined = parts.join(taken_blocks.hint("merge"), ["s", "block"])
     lo = F.greatest(F.col("block") * block, F.col("start"))
     hi = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
     pieces = joined.select("rid", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"), "times")
