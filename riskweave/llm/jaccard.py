@@ -157,12 +157,13 @@ def document_counts(docs: DataFrame, width: int) -> DataFrame:
     return counted.repartition(parallelism(spark), "unit").mapInArrow(gather, "id long, n long, shared long, d1 long, d2 long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """v, component (smallest vertex that links reach) for the vertices of links (a, b): labels move along links and then
-    jump to their label's label, until none changes. Each round is written to the shared scratch folder."""
+    jump to their label's label, until none changes: labels only ever fall, so this ends. Each round is written to the
+    shared scratch folder."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(F.min("l").alias("near"))
         step = labels.join(near, "v").select("v", "l", F.least("l", "near").alias("m"))
         up = labels.select(F.col("v").alias("m"), F.col("l").alias("top"))
@@ -170,8 +171,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         done = materialize(step, "labels")
         labels = done.select("v", F.col("new").alias("l"))
         if not done.where("l != new").limit(1).count():
-            break
-    return labels.select("v", F.col("l").alias("component"))
+            return labels.select("v", F.col("l").alias("component"))
 
 
 def needed(n: Column, percent: int) -> Column:

@@ -287,6 +287,14 @@ def test_jaccard_near_group(spark):
     assert {i: (x["n_shingles"], x["component_id"]) for i, x in found.items()} == brute_components(rows, 4, 85)
 
 
+def test_components_of_a_long_path(spark):
+    """Ids in shuffled order along a path: labels have far to go."""
+    order = random.Random(3).sample(range(300), 300)
+    links = [(min(a, b), max(a, b)) for a, b in zip(order, order[1:], strict=False)] + [(900, 901)]
+    found = jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["v"]: r["component"] for r in found} == {i: 0 for i in range(300)} | {900: 900, 901: 900}
+
+
 def test_warc(spark):
     r = random.Random(4)
     html = [None, "", "short", "short", "é" * 60, "é" * 60, *("".join(r.choice("ab<>é\n") for _ in range(r.randint(0, 9000))) for _ in range(60))]
