@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: White_Space of Unicode, for a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Most words whose encoding a worker keeps; the cache restarts beyond it.
+#: Most words whose encoding a worker keeps in each of two generations; the older one goes when the younger is full.
 CACHE_WORDS = 100_000
 
 
@@ -71,6 +71,15 @@ class MergeAutomaton:
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
         self.tokens = {s: t for s, t in vocab.items()}
         self.longest = max(map(len, vocab), default=1)
+        self.lengths = self._lengths()
+
+    def _lengths(self) -> dict[str, tuple[int, ...]]:
+        """Of each first three symbols, the lengths of arcs that can spell what begins so, descending."""
+        sizes: dict[str, set[int]] = {}
+        for s in self.vocab:
+            if len(s) > 2:
+                sizes.setdefault(s[:3], {1, 2}).add(len(s))
+        return {head: tuple(sorted(x, reverse=True)) for head, x in sizes.items()}
 
     def _gadget(self, rank: int, u: int, v: int, t: int) -> None:
         if (u, v) in self.cut or self.birth[t] >= 0 or not self._arc(u, v, rank):
@@ -103,29 +112,36 @@ class MergeAutomaton:
 
     def encode(self, word: str, end: str = "") -> list[int]:
         """word: one character for each symbol; end: suffix that the last symbol carries."""
-        n, tokens, known, longest = len(word), self.tokens, self.known, self.longest
+        n, tokens, known, lengths = len(word), self.tokens, self.known, self.lengths
         out: list[int] = []
         starts: list[int] = []
         dead: set[int] = set()  # positions from which no path goes on; a prefix has one path, so none is tried twice
-        j, i = 0, min(n, longest)
+        j, most = 0, n
         while j < n:
             last = out[-1] if out else -1
-            while i > j:
-                if i not in dead:
-                    t = tokens.get(word[j:i] + end if i == n else word[j:i])
-                    if t is not None and (last < 0 or (known[key] if (key := last << 32 | t) in known else self.allows(last, t))):
-                        break
-                i -= 1
-            if i > j:
+            rest, step = n - j, 0
+            if rest <= most and rest <= self.longest:
+                t = tokens.get(word[j:] + end)
+                if t is not None and (last < 0 or (known[key] if (key := last << 32 | t) in known else self.allows(last, t))):
+                    step = rest
+            if not step:
+                for size in lengths.get(word[j : j + 3], (2, 1)):
+                    if size < rest and size <= most and j + size not in dead:
+                        t = tokens.get(word[j : j + size])
+                        if t is not None and (last < 0 or (known[key] if (key := last << 32 | t) in known else self.allows(last, t))):
+                            step = size
+                            break
+            if step:
                 out.append(t)
                 starts.append(j)
-                j, i = i, min(n, i + longest)
+                j, most = j + step, n
             else:
                 if not out:
                     raise ValueError("no path: a symbol is missing from the vocabulary")
                 dead.add(j)
                 out.pop()
-                i, j = j - 1, starts.pop()
+                most = j - starts[-1] - 1
+                j = starts.pop()
         return out
 
 
@@ -143,8 +159,10 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE))
         self.plain, self.odd = plain_pattern() if pattern == USUAL else (None, None)
-        self.bytes = byte_symbols()
+        self.shown = {i: str(i) for i in self.label}
+        self.bytes = dict(enumerate(byte_symbols()))
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def normalize(self, text: str) -> str:
         """NFC, lower case for each character by itself; runs of white space need no change, words never cross them."""
@@ -153,21 +171,23 @@ class WordBpe:
 
     def word(self, word: str) -> list[int]:
         """Ids of one pre-split word."""
-        return self.automaton.encode("".join([self.bytes[b] for b in word.encode()]), self.end)
+        return self.automaton.encode(word.encode().decode("latin-1").translate(self.bytes), self.end)
 
     def entry(self, word: str) -> tuple[str, int, str]:
         """Ids as text, their number, and the arc labels that decode them, of one pre-split word."""
-        ids = self.word(word)
-        out = (" ".join(map(str, ids)), len(ids), " ".join([self.label[i] for i in ids]))
+        out = self.cache.get(word) or self.older.get(word)  # in a long text the caller may hold a generation that is gone
+        if out is None:
+            ids = self.word(word)
+            out = (" ".join([self.shown[i] for i in ids]), len(ids), " ".join([self.label[i] for i in ids]))
         if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         if len(word) <= 100:
             self.cache[word] = out
         return out
 
     def forget(self) -> None:
         """Drop the cached words and arcs; workers live on after a task."""
-        self.cache.clear()
+        self.cache, self.older = {}, {}
         self.automaton.known.clear()
 
     def _piece(self, text: str, out: list) -> None:
