@@ -2,7 +2,8 @@
 
 A gear rolling hash over the last 16 bytes cuts each text where the hash is small, so cuts follow content and insertions
 shift nothing but their own chunk. Chunks are deduplicated by a 128-bit digest: the occurrence with the smallest document
-id, and in a document the first, stays. Runs of repeated chunks of `min_run` bytes or more are removed.
+id, and in a document the first, stays. A run of repeated chunks is grown at both ends by the bytes, `most` at each, that
+equal those around the places which stay, as a repeated passage ends within a chunk; runs of `min_run` bytes or more go.
 
 Each task first dedupes its own block of documents, so that a digest reaches the task that owns it at most once a block,
 however many documents hold it; what a block already knows to be repeated takes the same shuffle to any task.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.scratch import parallelism
+from riskweave.llm.scratch import materialize, parallelism
 from riskweave.llm.textbytes import longs, mix64, utf8
 
 WINDOW = 16
@@ -67,20 +68,22 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray, mean: int, least: int, m
     return np.searchsorted(offsets, begin, "right") - 1, begin, end
 
 
-def later_ones(d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, later): entries by digest, document and start, and for each in that order whether an earlier place owns its digest."""
+def later_ones(d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, later, owner): entries by digest, document and start; for each in that order, whether an earlier place owns
+    its digest, and the entry that does."""
     order = np.lexsort((start, doc, d2, d1))
     a, b, c, s = d1[order], d2[order], doc[order], start[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
     owner = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
-    return order, (c != c[owner]) | (s != s[owner])
+    return order, (c != c[owner]) | (s != s[owner]), order[owner]
 
 
 def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, mean: int, least: int, most: int) -> DataFrame:
-    """id, starts, lens (int32 bytes): chunks of each document that repeat an earlier place; several rows a document."""
+    """id, starts, lens, owners, places: chunks of each document that repeat an earlier place, with the document and start
+    of one; int32 bytes, owners int64; several rows a document."""
     spark = docs.sparkSession
     parts = 2 * parallelism(spark)
-    names = ["part", "done", "d", "doc", "start", "len"]
+    names = ["part", "done", "d", "doc", "start", "len", "owner", "place"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +98,10 @@ def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, mean: int, l
                 raw = block.tobytes()
                 digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
                 doc, start, size = ids[at:to][row], (begin - off[row]).astype(np.int32), (end - begin).astype(np.int32)
-                order, later = later_ones(digest[:, 0], digest[:, 1], doc, start)
+                order, later, owner = later_ones(digest[:, 0], digest[:, 1], doc, start)
                 own, done = order[~later], order[later]
+                first = np.arange(len(doc))
+                first[order] = owner
                 part = (digest[own, 0] % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
                 own, part = own[by], part[by]
@@ -107,36 +112,104 @@ def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, mean: int, l
                 arrays = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_())]
                 arrays.append(pa.array([b"" if r[1] else digest[r[2]].tobytes() for r in rows], pa.binary()))
                 arrays += [pa.array([x[r[2]].tobytes() for r in rows], pa.binary()) for x in (doc, start, size)]
+                arrays += [pa.array([x[first[r[2]]].tobytes() if r[1] else b"" for r in rows], pa.binary()) for x in (doc, start)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
                 at = to
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {"d": [], "doc": [], "start": [], "len": []}
-        done: dict[str, list] = {"doc": [], "start": [], "len": []}
+        done: dict[str, list] = {"doc": [], "start": [], "len": [], "owner": [], "place": []}
         for batch in batches:
             for r in batch.to_pylist():
                 for k in ("doc", "start", "len"):
                     (done if r["done"] else held)[k].append(r[k])
-                if not r["done"]:
-                    held["d"].append(r["d"])
+                for k in ("owner", "place") if r["done"] else ("d",):
+                    (done if r["done"] else held)[k].append(r[k])
         join = lambda x, kind: np.frombuffer(b"".join(x), kind)
         d = join(held["d"], "<u8").reshape(-1, 2)
         doc, start, size = join(held["doc"], np.int64), join(held["start"], np.int32), join(held["len"], np.int32)
-        order, later = later_ones(d[:, 0], d[:, 1], doc, start)
-        found = order[later]
+        order, later, owner = later_ones(d[:, 0], d[:, 1], doc, start)
+        found, kept = order[later], owner[later]
+        first, place = np.r_[doc[kept], join(done["owner"], np.int64)], np.r_[start[kept], join(done["place"], np.int32)]
         doc = np.r_[doc[found], join(done["doc"], np.int64)]
         start = np.r_[start[found], join(done["start"], np.int32)]
         size = np.r_[size[found], join(done["len"], np.int32)]
         by = np.lexsort((start, doc))
-        doc, start, size = doc[by], start[by], size[by]
+        doc, start, size, first, place = doc[by], start[by], size[by], first[by], place[by]
         edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
         for at in range(0, len(edges) - 1, 5000):
             cut = list(zip(edges[at : at + 5000], edges[at + 1 : at + 5001], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[[a for a, _ in cut]]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (start, size))], names=["id", "starts", "lens"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[[a for a, _ in cut]]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (start, size, first, place))], names=["id", "starts", "lens", "owners", "places"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blobs = source.mapInArrow(split, "part int, done boolean, d binary, doc binary, start binary, len binary")
-    return blobs.repartition(parallelism(spark), "part").mapInArrow(settle, "id long, starts binary, lens binary")
+    blobs = source.mapInArrow(split, "part int, done boolean, d binary, doc binary, start binary, len binary, owner binary, place binary")
+    return blobs.repartition(parallelism(spark), "part").mapInArrow(settle, "id long, starts binary, lens binary, owners binary, places binary")
+
+
+def _joined(spans: list[dict] | None, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(s[name], kind) for s in spans or []] or [np.zeros(0, kind)]).astype(np.int64)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both ends of each run of a document: the byte where it is, and the place that the end's chunk repeats."""
+    for batch in batches:
+        out = []
+        for i, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            start, size, owner, place = (_joined(spans, k, t) for k, t in (("starts", np.int32), ("lens", np.int32), ("owners", np.int64), ("places", np.int32)))
+            a, b = runs_of(start, start + size)
+            by_start, by_end = np.argsort(start), np.argsort(start + size)
+            left, right = by_start[np.searchsorted(start[by_start], a)], by_end[np.searchsorted((start + size)[by_end], b)]
+            out += [(i, x, False, o, p) for x, o, p in zip(a.tolist(), owner[left].tolist(), place[left].tolist(), strict=True) if x and p]
+            out += [(i, x, True, o, p) for x, o, p in zip(b.tolist(), owner[right].tolist(), (place + size)[right].tolist(), strict=True)]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["id", "at", "after", "owner", "place"])
+
+
+def _surroundings(most: int):
+    """The bytes of a text before or after each place that is asked for, `most` or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = (text or "").encode() if asked else b""
+                out += [(i, r["place"], r["after"], raw[r["place"] : r["place"] + most] if r["after"] else raw[max(0, r["place"] - most) : r["place"]]) for r in asked or []]
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["owner_", "place_", "after_", "near"])
+
+    return run
+
+
+def run_ends(texts: DataFrame, spans: DataFrame, *, most: int) -> DataFrame:
+    """id, ends (array of at, after, near): for each end of a run, the bytes beyond the place that its chunk repeats.
+
+    texts has id and text. An end is asked for once a place, however many documents repeat it.
+    """
+    ends = materialize(spans.mapInArrow(_ends, "id long, at int, after boolean, owner long, place int"), "substring_ends")
+    asked = ends.groupBy("owner").agg(F.collect_set(F.struct("place", "after")).alias("asked"))
+    near = texts.join(asked.hint("merge"), F.col("key") == F.col("owner")).select("key", "text", "asked").mapInArrow(_surroundings(most), "owner_ long, place_ int, after_ boolean, near binary")
+    # Rows that repeat an id repeat its text; one of them serves.
+    near = near.groupBy("owner_", "place_", "after_").agg(F.first("near").alias("near"))
+    found = ends.join(near.hint("merge"), (F.col("owner") == F.col("owner_")) & (F.col("place") == F.col("place_")) & (F.col("after") == F.col("after_")))
+    return found.groupBy("id").agg(F.collect_list(F.struct("at", "after", "near")).alias("ends"))
+
+
+def grown(raw: bytes, starts: np.ndarray, ends: np.ndarray, beyond: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs with each end moved over the bytes that equal those beyond the repeated place."""
+    first, last = starts.copy(), ends.copy()
+    for e in beyond:
+        near = e["near"]
+        if e["after"]:
+            mine = raw[e["at"] : e["at"] + len(near)]
+            n = min(len(mine), len(near))
+            differ = np.frombuffer(mine, np.uint8, n) != np.frombuffer(near, np.uint8, n) if n else np.zeros(0, bool)
+            last[np.searchsorted(ends, e["at"])] += int(differ.argmax()) if differ.any() else n
+        else:
+            mine = raw[max(0, e["at"] - len(near)) : e["at"]]
+            n = min(len(mine), len(near))
+            differ = np.frombuffer(mine[len(mine) - n :], np.uint8) != np.frombuffer(near[len(near) - n :], np.uint8) if n else np.zeros(0, bool)
+            first[np.searchsorted(starts, e["at"])] -= int(differ[::-1].argmax()) if differ.any() else n
+    return first, last
 
 
 def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,22 +248,25 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", me
     and keep it alike. Runs shrink to whole characters. Columns of docs named like the results are replaced.
     """
     spans = repeated_chunks(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, mean=mean, least=least, most=most)
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct("starts", "lens")).alias("spans"))
+    spans = materialize(spans.groupBy("id").agg(F.collect_list(F.struct("starts", "lens", "owners", "places")).alias("spans")), "substring_spans")
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    ends = run_ends(texts, spans, most=most).withColumnRenamed("id", "id_")
+    spans = spans.select("id", F.transform("spans", lambda x: F.struct(x["starts"].alias("starts"), x["lens"].alias("lens"))).alias("spans"))
+    spans = spans.join(ends.hint("merge"), F.col("id") == F.col("id_"), "left").drop("id_")
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kept = [c for c in docs.columns if c not in new] if keep_text else [id_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if not (keep_text and c == text_col)]).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("key"))
-    joined = rows.join(spans, F.col("key") == F.col("id"), "left").select("row", "text", "spans")
+    joined = rows.join(spans, F.col("key") == F.col("id"), "left").select("row", "text", "spans", "ends")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts, found, n_bytes, n_removed, n_spans, sha = [], part.column(2).to_pylist(), [], [], [], []
-                for text, spans_ in zip(part.column(1).to_pylist(), found, strict=True):
+                for text, spans_, ends_ in zip(part.column(1).to_pylist(), found, part.column(3).to_pylist(), strict=True):
                     raw = (text or "").encode()
-                    start = np.concatenate([np.frombuffer(s["starts"], np.int32) for s in spans_ or []] or [np.zeros(0, np.int32)]).astype(np.int64)
-                    size = np.concatenate([np.frombuffer(s["lens"], np.int32) for s in spans_ or []] or [np.zeros(0, np.int32)])
-                    a, b = runs_of(start, start + size)
+                    start, size = _joined(spans_, "starts", np.int32), _joined(spans_, "lens", np.int32)
+                    a, b = runs_of(*grown(raw, *runs_of(start, start + size), ends_ or []))
                     long = b - a >= min_run
                     left, gone, runs = cut_runs(raw, a[long], b[long])
                     texts.append(None if text is None else left.decode())

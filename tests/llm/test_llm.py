@@ -404,6 +404,28 @@ def test_substring(spark, docs, empty):
     assert substring.dedup(empty).count() == 0
 
 
+def test_substring_finds_short_passages_wherever_they_are(spark):
+    """Passages of 51 to 60 words in two contexts: all but those in which no whole chunk lies go whole, and nothing else does."""
+    r = random.Random(21)
+    vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    say = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    passages = [say(r.randint(51, 60)) for _ in range(400)]
+    rows = [(1000 * k + i, say(r.randint(10, 90)) + " # " + p + " = " + say(r.randint(10, 90))) for i, p in enumerate(passages) for k in (1, 2)]
+    found = by_id(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep_text=True))
+    missed = 0
+    for i, text in rows:
+        if i < 2000:
+            assert found[i]["n_removed"] == 0
+            continue
+        p, gone = passages[i % 1000], found[i]["n_removed"]
+        missed += gone == 0
+        if gone:
+            assert len(p) <= gone <= len(p) + 12
+            at = text.index(p)
+            assert found[i]["text"].startswith(text[: at - 6]) and found[i]["text"].endswith(text[at + len(p) + 6 :])
+    assert missed <= 6
+
+
 def test_gear_hash_is_the_rolling_sum():
     data = np.frombuffer(random.Random(1).randbytes(200), np.uint8)
     got = substring.gear_hash(data)
