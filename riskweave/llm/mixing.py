@@ -72,28 +72,31 @@ def uniform(*key: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces): documents has one row per row of docs: row id, id, size, source_size, target, taken;
+    """(documents, pieces): documents has one row per row of docs: row id, id, size, source_size, target, taken, and source
+    and content (the text's hash), which with the id tell what row of docs it is;
     pieces has the word ranges that the mixture takes: rid, from_word, n_words, times.
 
     A block is taken at most 3 times, so no document gives more than 3 times its words. Null texts have size 0 and give
     nothing. Rows are told apart by their content, so exact repeats share their order's ties, which changes no total.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("content"))
     sized = materialize(sized, "mix_sizes")
     targets = materialize(source_targets(sized).coalesce(1), "mix_targets")
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     # Places of words within a source: sums over buckets of documents, then within a bucket, so that no task gets a source.
     buckets = F.ceil(F.col("n_docs") / float(BUCKET_DOCS))
-    bucket = F.pmod(F.xxhash64("id", F.lit(seed)), buckets)
+    # Null adds nothing to a hash: only rows without id are dealt by their content.
+    nameless = F.when(F.col("id").isNull(), F.col("content"))
+    bucket = F.pmod(F.xxhash64("id", nameless, F.lit(seed)), buckets)
     wide = F.floor(bucket / F.ceil(F.sqrt(buckets)))
-    docs_in = sized.join(targets.select("s", F.col("source").alias("src"), "source_size", "n_docs", "target"), F.col("source").eqNullSafe(F.col("src"))).select("id", "s", "size", "source_size", "target", bucket.alias("bucket"), wide.alias("wide"))
+    docs_in = sized.join(targets.select("s", F.col("source").alias("src"), "source_size", "n_docs", "target"), F.col("source").eqNullSafe(F.col("src"))).select("id", "s", "source", "content", "size", "source_size", "target", bucket.alias("bucket"), wide.alias("wide"))
     sums = materialize(docs_in.groupBy("s", "wide", "bucket").agg(F.sum("size").alias("n")), "mix_sums")
     sums = materialize(sums_before(sums, "wide", "bucket", "n", "offset").select(F.col("s").alias("s_"), F.col("bucket").alias("bucket_"), "offset"), "mix_offsets")
-    inside = W.partitionBy("s", "bucket").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size")
+    inside = W.partitionBy("s", "bucket").orderBy(F.xxhash64("id", nameless, F.lit(seed + 1)), "id", "size", "content")
     placed = docs_in.withColumn("in_bucket", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(sums, (F.col("s") == F.col("s_")) & (F.col("bucket") == F.col("bucket_")))
-    placed = materialize(placed.select(F.monotonically_increasing_id().alias("rid"), "id", "s", "size", "source_size", "target", (F.col("offset") + F.col("in_bucket")).alias("start")), "mix_placed")
+    placed = materialize(placed.select(F.monotonically_increasing_id().alias("rid"), "id", "s", "source", "content", "size", "source_size", "target", (F.col("offset") + F.col("in_bucket")).alias("start")), "mix_placed")
     # Slots: shard by shard, the stratified draw of slot b is u = (b + uniform) / shard against the sources' cumulated shares.
     slots = int(round(total / block))
     shards = -(-slots // shard)
@@ -121,29 +124,35 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     pieces = joined.select("rid", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"), "times")
     pieces = materialize(pieces, "mix_pieces")
     taken = pieces.groupBy(F.col("rid").alias("rid_")).agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
-    documents = placed.join(taken, F.col("rid") == F.col("rid_"), "left").select("rid", F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents = placed.join(taken, F.col("rid") == F.col("rid_"), "left").select("rid", F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("source").alias("mix_source"), "content")
     return documents, pieces
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: id, size, source_size, target, taken (words, repeats counted)."""
-    return mix_plan(docs, **options)[0].drop("rid")
+    return mix_plan(docs, **options)[0].drop("rid", "mix_source", "content")
 
 
-def mixed_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture as documents: for each document and each time r = 1, 2, 3, a row with the words of its blocks that are
     taken at least r times, in order and with the white space that follows them; none if there are no such blocks.
 
-    n_chars, if docs has it, is set to the new length; other columns are repeated. Ids must tell documents apart.
+    n_chars, if docs has it, is set to the new length; other columns are repeated. Each row gets its own pieces, without id
+    too: rows go by id, source and text, and of rows that are alike in these the n-th gets those of the n-th in the plan.
     """
-    documents, pieces = mix_plan(docs, id_col=id_col, text_col=text_col, **options)
+    documents, pieces = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     by = pieces.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("pieces"))
-    by = documents.select("rid", F.col(id_col).alias("mix_id")).join(by, "rid").select("mix_id", "pieces")
-    # Ids that occur on several rows would multiply in the join: keep one list of pieces for each.
-    by = by.groupBy("mix_id").agg(F.first("pieces").alias("pieces"))
-    tokens = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), tokens.alias("tokens"))
-    out = rows.join(by, F.col("row_id") == F.col("mix_id")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+    by = documents.select("rid", F.col(id_col).alias("mix_id"), "mix_source", "content").join(by, "rid", "left")
+    # Rows that are alike would multiply in the join: one list for them all, with a null for each that gives nothing.
+    by = by.groupBy("mix_id", "mix_source", "content").agg(F.sort_array(F.collect_list(F.struct("rid", "pieces")))["pieces"].alias("lists"), F.count("pieces").alias("some")).where("some > 0")
+    text = F.col(text_col).cast("string")
+    tokens = F.regexp_extract_all(F.col("text"), F.lit(r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("row_id"), F.col(source_col).alias("row_source"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_content"), text.alias("text"))
+    alike = W.partitionBy("row_id", "row_source", "row_content").orderBy("row_id")
+    rows = rows.withColumn("nth", F.row_number().over(alike))
+    same = F.col("row_id").eqNullSafe(F.col("mix_id")) & F.col("row_source").eqNullSafe(F.col("mix_source")) & (F.col("row_content") == F.col("content"))
+    out = rows.join(by.hint("merge"), same).select("row", tokens.alias("tokens"), F.get("lists", F.col("nth") - 1).alias("pieces")).where("pieces is not null")
+    out = out.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
     out = out.withColumn("chosen", F.filter("pieces", lambda p: p["times"] >= F.col("r"))).where(F.size("chosen") > 0)
     text = F.array_join(F.flatten(F.transform("chosen", lambda p: F.slice(F.col("tokens"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), "")
     out = out.select("row", text.alias("mixed"))

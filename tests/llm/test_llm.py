@@ -237,6 +237,24 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_texts(empty).count() == 0
 
 
+def test_mixed_texts_of_rows_without_id_and_of_rows_that_share_one(spark):
+    """Every row gets the pieces that were planned for it: words of the mixture by row equal what the plan takes."""
+    r = random.Random(13)
+    say = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    rows = [(i, say(r.randint(5, 90)), "a") for i in range(20)] + [(None, say(r.randint(5, 90)), s) for s in ("a", "b", None) for _ in range(8)]
+    rows += [(7, say(40), "a"), (7, say(75), "b"), *[(8, "x y z " * 9, "b")] * 3, *[(None, "u v " * 7, None)] * 2, (None, None, "a"), (None, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want, got = {}, {}
+    for x in mixing.mix(df, block=4, shard=16).collect():
+        want[x["doc_id"], x["size"]] = want.get((x["doc_id"], x["size"]), 0) + x["taken"]
+    for x in mixing.mixed_texts(df, block=4, shard=16).collect():
+        words = x["text"].split()
+        text = next(t for i, t, s in rows if (i, s) == (x["doc_id"], x["source"]) and t and set(words) <= set(t.split()))
+        got[x["doc_id"], len(text.split())] = got.get((x["doc_id"], len(text.split())), 0) + len(words)
+    assert got == {k: n for k, n in want.items() if n}
+    assert sum(n for (i, _), n in got.items() if i is None) > 100
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     rows = [(1, "w " * 10, "a"), (2, "w " * 20, "b"), (3, "w " * 700, "c"), (4, "w " * 1000, None), (5, "w " * 5, "d")]
     found = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=4))
