@@ -1,14 +1,17 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source, its documents one after the other in a fixed pseudorandom order, are packed into blocks of
-`block` words. The mixture is a sequence of slots, `shard` slots to an output shard; each shard draws a stratified
-multinomial count of slots for each source from the targets. A source's slots are numbered over all shards, and slot j
+`block` words, the last of them shorter. The mixture is a sequence of slots, at most `shard` to an output shard; a source
+has as many as blocks of its mean size make its target, and each shard draws a stratified multinomial count of them, such
+that over all shards a source is within one slot of its number. A source's slots are numbered over all shards, and slot j
 takes the block that a pseudorandom permutation of the block indexes gives for j modulo the number of blocks, so that no
 block is taken again before all have been. Blocks and slots are joined by source and index.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -83,7 +86,6 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("content"))
     sized = materialize(sized, "mix_sizes")
     targets = materialize(source_targets(sized).coalesce(1), "mix_targets")
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
     # Places of words within a source: sums over buckets of documents, then within a bucket, so that no task gets a source.
     buckets = F.ceil(F.col("n_docs") / float(BUCKET_DOCS))
     # Null adds nothing to a hash: only rows without id are dealt by their content.
@@ -97,22 +99,25 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     placed = docs_in.withColumn("in_bucket", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(sums, (F.col("s") == F.col("s_")) & (F.col("bucket") == F.col("bucket_")))
     placed = materialize(placed.select(F.monotonically_increasing_id().alias("rid"), "id", "s", "source", "content", "size", "source_size", "target", (F.col("offset") + F.col("in_bucket")).alias("start")), "mix_placed")
-    # Slots: shard by shard, the stratified draw of slot b is u = (b + uniform) / shard against the sources' cumulated shares.
-    slots = int(round(total / block))
-    shards = -(-slots // shard)
-    cumulated = F.sum("target").over(W.orderBy("s"))
-    shares = targets.select("s", "source_size", ((cumulated - F.col("target")) / max(total, 1e-9)).alias("lo"), (cumulated / max(total, 1e-9)).alias("hi"), F.max("s").over(W.partitionBy()).alias("last"))
-    # Count of b with lo <= (b + u_h) / n < hi, with one u for each shard: systematic, so counts are within one of the share.
-    n_in = F.least(F.lit(shard), F.lit(slots) - F.col("h") * shard)
-    below = lambda x: F.greatest(F.lit(0), F.least(n_in, F.ceil(x * n_in - uniform(F.col("h"), F.lit(seed))))).cast("long")
+    # Slots of a source: as its last block is short, its target counts in blocks of mean size; at 3 times its size, 3 rounds.
+    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
+    wanted = F.when(F.col("target") >= REPEATS * F.col("source_size"), (REPEATS * blocks).cast("double")).otherwise(F.col("target") * blocks / F.col("source_size"))
+    to = F.sum("wanted").over(W.orderBy("s"))
+    shares = targets.where("source_size > 0").select("s", "source_size", wanted.alias("wanted")).select("s", "source_size", (to - F.col("wanted")).alias("lo"), to.alias("hi"))
+    shares = materialize(shares.coalesce(1), "mix_shares")
+    slots = shares.agg(F.max("hi")).first()[0] or 0.0
+    shards = math.ceil(slots / shard)
+    # Systematic: shard h draws the count of b with lo / shards <= b + u_h < hi / shards. The u_h are a permutation of
+    # (i + u) / shards, i < shards, so that the draws of all shards add up to the count of b with lo <= b + u < hi.
+    u = (permuted(F.col("h"), F.lit(max(shards, 1)), F.lit(seed)) + uniform(F.lit(seed))) / max(shards, 1)
+    below = lambda x: F.ceil(x / max(shards, 1) - u).cast("long")
     # Shard numbers in two steps, so that no row holds an array of all of them.
     wides = -(-shards // WIDE)
     none = F.array().cast("array<bigint>")
     drawn = shares.withColumn("wide", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wides - 1).cast("long")) if shards else none)).repartition("s", "wide")
     drawn = drawn.withColumn("h", F.explode(F.sequence(F.col("wide") * WIDE, F.least(F.col("wide") * WIDE + (WIDE - 1), F.lit(shards - 1).cast("long")))))
-    drawn = drawn.select("wide", "h", "s", "source_size", (F.when(F.col("s") == F.col("last"), n_in).otherwise(below(F.col("hi"))) - below(F.col("lo"))).alias("n"))
+    drawn = drawn.select("wide", "h", "s", "source_size", (below(F.col("hi")) - below(F.col("lo"))).alias("n"))
     drawn = sums_before(drawn, "wide", "h", "n", "first").where("n > 0")
-    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
     slot = drawn.select("s", blocks.alias("m"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
     taken_blocks = slot.where(F.col("j") < REPEATS * F.col("m")).select("s", permuted(F.col("j") % F.col("m"), F.col("m"), F.col("s")).alias("block"))
     taken_blocks = taken_blocks.groupBy("s", "block").agg(F.count("*").alias("times"))

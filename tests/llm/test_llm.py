@@ -255,6 +255,15 @@ def test_mixed_texts_of_rows_without_id_and_of_rows_that_share_one(spark):
     assert sum(n for (i, _), n in got.items() if i is None) > 100
 
 
+def test_small_sources_get_their_targets(spark):
+    """Sources whose last block is short, stopped at three times their size beside a large one, are taken three times whole."""
+    small = {f"s{n}": n for n in (65, 100, 130, 200, 400, 1000)}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(small.items())] + [(100 + i, "w " * 500, "z") for i in range(100)]
+    found = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert {i: found[i]["taken"] for i in range(6)} == {i: 3 * n for i, n in enumerate(small.values())}
+    assert sum(found[100 + i]["taken"] for i in range(100)) == pytest.approx(found[100]["target"], rel=0.01)
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     rows = [(1, "w " * 10, "a"), (2, "w " * 20, "b"), (3, "w " * 700, "c"), (4, "w " * 1000, None), (5, "w " * 5, "d")]
     found = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=4))
