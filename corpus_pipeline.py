@@ -51,7 +51,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can't express the stages; tests hold each against a brute-force version.
+#: SQL can't express the stages; tests hold their operators, and the glue of two of them, against brute force.
 ORACLE_SQL = None
 
 

@@ -459,3 +459,24 @@ def test_gear_hash_is_the_rolling_sum():
     for i in range(200):
         want = sum(int(substring.GEAR[data[i - j]]) << j for j in range(min(substring.WINDOW, i + 1))) & 0xFFFFFFFF
         assert int(got[i]) == want
+
+
+def test_pipeline_stages_keep_rows_and_columns(spark, docs):
+    """near_duplicates against brute force, and substring_dedup and mixing against their operators, with rows without id."""
+    import corpus_pipeline
+
+    more = spark.createDataFrame([(None, "no id " * 9, "en", "s1", 54, "extra"), (None, None, "en", None, None, "extra")], docs.schema)
+    docs = docs.unionByName(more)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, docs, SF)
+    component = {i: c for i, (_, c) in brute_components(ROWS, 5, 80).items()}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, None, *(i for i in component if component[i] == i)], key=str)
+    cut = stages["substring_dedup"](spark, docs, SF)
+    want = [r for r in substring.dedup(docs, keep_text=True).collect() if not r["n_removed"] or WORD.search(r["text"].encode())]
+    was = {r["doc_id"]: r["n_chars"] for r in docs.collect() if r["doc_id"] is not None}
+    assert any(r["n_removed"] for r in want)
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect()), key=str)
+    assert got == sorted(((r["doc_id"], r["text"], len(r["text"]) if r["n_removed"] else was.get(r["doc_id"], r["n_chars"])) for r in want), key=str)
+    mixed = stages["mixing"](spark, docs, SF)
+    assert all(r["n_chars"] == len(r["text"]) for r in mixed.collect())
+    assert kept.columns == cut.columns == mixed.columns == docs.columns
