@@ -1,12 +1,15 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the last 16 bytes cuts each text where the hash is small, so cuts follow content and insertions
-shift nothing but their own chunk. Chunks are deduplicated by a 128-bit digest: the occurrence with the smallest document
-id, and in a document the first, stays. A run of repeated chunks is grown at both ends by the bytes, `most` at each, that
-equal those around the places which stay, as a repeated passage ends within a chunk; runs of `min_run` bytes or more go.
+shift nothing but their own chunk. Chunks are deduplicated by a 128-bit digest: the place with the smallest document id,
+and in a document the first, owns a digest and stays. Neighbouring later chunks whose owners are neighbours too, on one
+diagonal, form a segment; each segment is grown at both ends by the bytes, `reach` at each, that equal those around its
+owner's place, as a repeated passage ends within a chunk. What is grown so occurs as a whole at the earlier place; it goes
+if it has `min_run` bytes or `min_words` whole words.
 
 Each task first dedupes its own block of documents, so that a digest reaches the task that owns it at most once a block,
-however many documents hold it; what a block already knows to be repeated takes the same shuffle to any task.
+however many documents hold it; what a block already knows to be repeated takes the same shuffle to any task, and then its
+block's owner gives way to the first of all. Digests are settled in `PARTS` slices of a partition, one after the other.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +32,9 @@ WINDOW = 16
 #: Random value of each byte; zero for NUL, which pads texts.
 GEAR = (mix64(np.arange(256)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 GEAR[0] = 0
-#: Bytes of texts that a task dedupes together.
+#: Bytes of texts that a task dedupes together, and slices of a partition that are settled one after the other.
 UNIT = 1 << 23
+PARTS = 8
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -79,137 +84,194 @@ def later_ones(d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, start: np.ndarra
 
 
 def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, mean: int, least: int, most: int) -> DataFrame:
-    """id, starts, lens, owners, places: chunks of each document that repeat an earlier place, with the document and start
-    of one; int32 bytes, owners int64; several rows a document."""
+    """id, starts, lens, owners, places: chunks of each document that repeat an earlier place, with the first of these, which
+    is the same however docs is partitioned; int32 bytes, owners int64; several rows a document."""
     spark = docs.sparkSession
-    parts = 2 * parallelism(spark)
-    names = ["part", "done", "d", "doc", "start", "len", "owner", "place"]
+    parts = PARTS * parallelism(spark)
+    kinds = {"doc": np.int64, "start": np.int32, "len": np.int32, "at": np.int32, "owner": np.int64, "place": np.int32}
+    schema = "unit long, done boolean, doc binary, start binary, len binary, at binary, owner binary, place binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    raw = lambda rows, k: np.frombuffer(b"".join([r[k] for r in rows]), kinds[k])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = longs(batch.column(0))
             at, n = 0, len(ids)
             while at < n:
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + UNIT, "right")) - 1)
-                block = data[offsets[at] : offsets[to]]
                 off = offsets[at : to + 1] - offsets[at]
+                block = data[offsets[at] : offsets[to]]
                 row, begin, end = chunk_bounds(block, off, mean, least, most)
-                raw = block.tobytes()
-                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
-                doc, start, size = ids[at:to][row], (begin - off[row]).astype(np.int32), (end - begin).astype(np.int32)
-                order, later, owner = later_ones(digest[:, 0], digest[:, 1], doc, start)
-                own, done = order[~later], order[later]
-                first = np.arange(len(doc))
-                first[order] = owner
+                text = block.tobytes()
+                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+                value = {"doc": ids[at:to][row], "start": (begin - off[row]).astype(np.int32), "len": (end - begin).astype(np.int32), "at": np.arange(len(row), dtype=np.int32)}
+                order, later, owner = later_ones(digest[:, 0], digest[:, 1], value["doc"], value["start"])
+                own, done, kept = order[~later], order[later], owner[later]
                 part = (digest[own, 0] % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
                 own, part = own[by], part[by]
                 edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
-                rows = [(int(part[a]), False, own[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                if len(done):
-                    rows += [(int(mix64(np.array([ids[at] + j]))[0] % np.uint64(parts)), True, x) for j, x in enumerate(np.array_split(done, max(1, len(done) // 20000)))]
-                arrays = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_())]
-                arrays.append(pa.array([b"" if r[1] else digest[r[2]].tobytes() for r in rows], pa.binary()))
-                arrays += [pa.array([x[r[2]].tobytes() for r in rows], pa.binary()) for x in (doc, start, size)]
-                arrays += [pa.array([x[first[r[2]]].tobytes() if r[1] else b"" for r in rows], pa.binary()) for x in (doc, start)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-                at = to
+                rows = [(int(part[a]), unit, False, digest[own[a:b]].tobytes(), *(value[k][own[a:b]].tobytes() for k in ("doc", "start", "len", "at")), b"", b"") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                for x, y in zip(*(np.array_split(z, max(1, len(done) // 20000)) for z in (done, kept)), strict=True):
+                    local = (value["doc"][x], value["start"][x], value["len"][x], value["at"][y], value["doc"][y], value["start"][y])
+                    rows += [(int(mix64(np.array([unit + len(rows)]))[0] % np.uint64(parts)), unit, True, b"", *(z.tobytes() for z in local))] if len(x) else []
+                types = [pa.int32(), pa.int64(), pa.bool_()] + [pa.binary()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["part", "unit", "done", "d", *names[2:]])
+                at, unit = to, unit + 1
+
+    def settled(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Of one part, for each block the chunks that an earlier place owns."""
+        d = np.frombuffer(b"".join([r["d"] for r in held]), "<u8").reshape(-1, 2)
+        value = {k: raw(held, k) for k in ("doc", "start", "len", "at")}
+        order, later, owner = later_ones(d[:, 0], d[:, 1], value["doc"], value["start"])
+        found, kept = order[later], owner[later]
+        back = np.argsort(found)
+        found, kept = found[back], kept[back]
+        value = {k: v[found] for k, v in value.items()} | {"owner": value["doc"][kept], "place": value["start"][kept]}
+        cut = np.searchsorted(found, np.cumsum([0, *(len(r["at"]) // 4 for r in held)]))
+        rows = [(r["unit"], a, b) for r, a, b in zip(held, cut[:-1], cut[1:], strict=True) if b > a]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([False] * len(rows), pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array([value[k][a:b].tobytes() for _, a, b in rows], pa.binary()) for k in names[2:]], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"d": [], "doc": [], "start": [], "len": []}
-        done: dict[str, list] = {"doc": [], "start": [], "len": [], "owner": [], "place": []}
+        """Rows come in order of part, which is settled when it is complete; what a block knows passes through."""
+        held: list[dict] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                for k in ("doc", "start", "len"):
-                    (done if r["done"] else held)[k].append(r[k])
-                for k in ("owner", "place") if r["done"] else ("d",):
-                    (done if r["done"] else held)[k].append(r[k])
-        join = lambda x, kind: np.frombuffer(b"".join(x), kind)
-        d = join(held["d"], "<u8").reshape(-1, 2)
-        doc, start, size = join(held["doc"], np.int64), join(held["start"], np.int32), join(held["len"], np.int32)
-        order, later, owner = later_ones(d[:, 0], d[:, 1], doc, start)
-        found, kept = order[later], owner[later]
-        first, place = np.r_[doc[kept], join(done["owner"], np.int64)], np.r_[start[kept], join(done["place"], np.int32)]
-        doc = np.r_[doc[found], join(done["doc"], np.int64)]
-        start = np.r_[start[found], join(done["start"], np.int32)]
-        size = np.r_[size[found], join(done["len"], np.int32)]
+            through = batch.filter(batch.column("done"))
+            if through.num_rows:
+                yield through.select(names)
+            for r in batch.filter(pa.compute.invert(batch.column("done"))).to_pylist():
+                if held and held[0]["part"] != r["part"]:
+                    yield from settled(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from settled(held)
+
+    def resolved(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Of one block, chunks by document; owners within the block give way to the first place of all."""
+        first, done = ({k: raw([r for r in held if r["done"] is x], k) for k in kinds} for x in (False, True))
+        known = np.full(1 + max(first["at"].max(initial=-1), done["at"].max(initial=-1)), -1)
+        known[first["at"]] = np.arange(len(first["at"]))
+        to = known[done["at"]]
+        owner, place = (np.where(to >= 0, np.r_[first[k], 0][to], done[k]) for k in ("owner", "place"))
+        doc, start, size = (np.r_[first[k], done[k]] for k in ("doc", "start", "len"))
+        owner, place = np.r_[first["owner"], owner], np.r_[first["place"], place].astype(np.int32)
         by = np.lexsort((start, doc))
-        doc, start, size, first, place = doc[by], start[by], size[by], first[by], place[by]
+        doc, start, size, owner, place = doc[by], start[by], size[by], owner[by], place[by]
         edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else np.zeros(1, int)
-        for at in range(0, len(edges) - 1, 5000):
-            cut = list(zip(edges[at : at + 5000], edges[at + 1 : at + 5001], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[[a for a, _ in cut]]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (start, size, first, place))], names=["id", "starts", "lens", "owners", "places"])
+        for lo in range(0, len(edges) - 1, 5000):
+            cut = list(zip(edges[lo : lo + 5000], edges[lo + 1 : lo + 5001], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[[a for a, _ in cut]]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (start, size, owner, place))], names=["id", "starts", "lens", "owners", "places"])
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and held[0]["unit"] != r["unit"]:
+                    yield from resolved(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from resolved(held)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blobs = source.mapInArrow(split, "part int, done boolean, d binary, doc binary, start binary, len binary, owner binary, place binary")
-    return blobs.repartition(parallelism(spark), "part").mapInArrow(settle, "id long, starts binary, lens binary, owners binary, places binary")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    blobs = source.mapInArrow(split, "part int, unit long, done boolean, d binary, doc binary, start binary, len binary, at binary, owner binary, place binary")
+    known = blobs.repartition(parallelism(spark), "part").sortWithinPartitions("part").mapInArrow(settle, schema)
+    return known.repartition(parallelism(spark), "unit").sortWithinPartitions("unit").mapInArrow(resolve, "id long, starts binary, lens binary, owners binary, places binary")
 
 
 def _joined(spans: list[dict] | None, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(s[name], kind) for s in spans or []] or [np.zeros(0, kind)]).astype(np.int64)
 
 
+def segments(start: np.ndarray, size: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(begin, end, owner, place) of maximal rows of chunks that repeat a row of chunks of one owner."""
+    by = np.unique(start, return_index=True)[1]  # rows that repeat an id bring their chunks again
+    start, size, owner, place = start[by], size[by], owner[by], place[by]
+    new = np.r_[True, (start[1:] != (start + size)[:-1]) | (owner[1:] != owner[:-1]) | ((start - place)[1:] != (start - place)[:-1])]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(start)] - 1
+    return list(zip(start[first].tolist(), (start + size)[last].tolist(), owner[first].tolist(), place[first].tolist(), strict=True))
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both ends of each run of a document: the byte where it is, and the place that the end's chunk repeats."""
+    """Both ends of each segment of a document: the segment, and the place beyond which its owner goes on."""
     for batch in batches:
         out = []
         for i, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            start, size, owner, place = (_joined(spans, k, t) for k, t in (("starts", np.int32), ("lens", np.int32), ("owners", np.int64), ("places", np.int32)))
-            a, b = runs_of(start, start + size)
-            by_start, by_end = np.argsort(start), np.argsort(start + size)
-            left, right = by_start[np.searchsorted(start[by_start], a)], by_end[np.searchsorted((start + size)[by_end], b)]
-            out += [(i, x, False, o, p) for x, o, p in zip(a.tolist(), owner[left].tolist(), place[left].tolist(), strict=True) if x and p]
-            out += [(i, x, True, o, p) for x, o, p in zip(b.tolist(), owner[right].tolist(), (place + size)[right].tolist(), strict=True)]
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["id", "at", "after", "owner", "place"])
+            chunks = (_joined(spans, k, t) for k, t in (("starts", np.int32), ("lens", np.int32), ("owners", np.int64), ("places", np.int32)))
+            for a, b, o, p in segments(*chunks):
+                out.append((i, a, b, True, o, p + b - a))
+                if a and p:
+                    out.append((i, a, b, False, o, p))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["id", "a", "b", "after", "owner", "place"])
 
 
-def _surroundings(most: int):
-    """The bytes of a text before or after each place that is asked for, `most` or fewer."""
+def _surroundings(reach: int):
+    """The bytes of a text before or after each place that is asked for, `reach` or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (text or "").encode() if asked else b""
-                out += [(i, r["place"], r["after"], raw[r["place"] : r["place"] + most] if r["after"] else raw[max(0, r["place"] - most) : r["place"]]) for r in asked or []]
-            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["owner_", "place_", "after_", "near"])
+            for lo in range(0, batch.num_rows, 200):
+                out = []
+                for i, text, asked in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                    raw = (text or "").encode()
+                    out += [(i, r["place"], r["after"], raw[r["place"] : r["place"] + reach] if r["after"] else raw[max(0, r["place"] - reach) : r["place"]]) for r in asked or []]
+                kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["owner_", "place_", "after_", "near"])
 
     return run
 
 
-def run_ends(texts: DataFrame, spans: DataFrame, *, most: int) -> DataFrame:
-    """id, ends (array of at, after, near): for each end of a run, the bytes beyond the place that its chunk repeats.
+def segment_ends(texts: DataFrame, spans: DataFrame, *, reach: int) -> DataFrame:
+    """id, ends (array of a, b, after, near): for each end of a segment, the bytes beyond its owner's place.
 
-    texts has id and text. An end is asked for once a place, however many documents repeat it.
+    texts has key and text. An end is asked for once a place, however many documents repeat it.
     """
-    ends = materialize(spans.mapInArrow(_ends, "id long, at int, after boolean, owner long, place int"), "substring_ends")
+    ends = materialize(spans.mapInArrow(_ends, "id long, a int, b int, after boolean, owner long, place int"), "substring_ends")
     asked = ends.groupBy("owner").agg(F.collect_set(F.struct("place", "after")).alias("asked"))
-    near = texts.join(asked.hint("merge"), F.col("key") == F.col("owner")).select("key", "text", "asked").mapInArrow(_surroundings(most), "owner_ long, place_ int, after_ boolean, near binary")
+    near = texts.join(asked.hint("merge"), F.col("key") == F.col("owner")).select("key", "text", "asked").mapInArrow(_surroundings(reach), "owner_ long, place_ int, after_ boolean, near binary")
     # Rows that repeat an id repeat its text; one of them serves.
     near = near.groupBy("owner_", "place_", "after_").agg(F.first("near").alias("near"))
     found = ends.join(near.hint("merge"), (F.col("owner") == F.col("owner_")) & (F.col("place") == F.col("place_")) & (F.col("after") == F.col("after_")))
-    return found.groupBy("id").agg(F.collect_list(F.struct("at", "after", "near")).alias("ends"))
+    return found.groupBy("id").agg(F.collect_list(F.struct("a", "b", "after", "near")).alias("ends"))
+
 
+def alike(x: bytes, y: bytes) -> int:
+    """Length of the common head of two byte strings."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return int((np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)).argmax())
 
-def grown(raw: bytes, starts: np.ndarray, ends: np.ndarray, beyond: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Runs with each end moved over the bytes that equal those beyond the repeated place."""
-    first, last = starts.copy(), ends.copy()
-    for e in beyond:
+
+def grown(raw: bytes, ends: list[dict]) -> dict[tuple[int, int], list[int]]:
+    """[begin, end] of each segment (a, b) after its ends moved over the bytes that equal those beyond the owner's place."""
+    out: dict[tuple[int, int], list[int]] = {}
+    for e in ends:
+        at = out.setdefault((e["a"], e["b"]), [e["a"], e["b"]])
         near = e["near"]
         if e["after"]:
-            mine = raw[e["at"] : e["at"] + len(near)]
-            n = min(len(mine), len(near))
-            differ = np.frombuffer(mine, np.uint8, n) != np.frombuffer(near, np.uint8, n) if n else np.zeros(0, bool)
-            last[np.searchsorted(ends, e["at"])] += int(differ.argmax()) if differ.any() else n
+            at[1] = e["b"] + alike(raw[e["b"] : e["b"] + len(near)], near)
         else:
-            mine = raw[max(0, e["at"] - len(near)) : e["at"]]
-            n = min(len(mine), len(near))
-            differ = np.frombuffer(mine[len(mine) - n :], np.uint8) != np.frombuffer(near[len(near) - n :], np.uint8) if n else np.zeros(0, bool)
-            first[np.searchsorted(starts, e["at"])] -= int(differ[::-1].argmax()) if differ.any() else n
-    return first, last
+            at[0] = e["a"] - alike(raw[max(0, e["a"] - len(near)) : e["a"]][::-1], near[::-1])
+    return out
+
+
+def whole_words(raw: bytes, a: int, b: int) -> int:
+    """Words of raw that lie whole in [a, b)."""
+    blank = b" \t\n\x0b\x0c\r"
+    part = raw[a:b]
+    n = len(part.split())
+    if n and a and part[0] not in blank and raw[a - 1] not in blank:
+        n -= 1
+    if n and b < len(raw) and part[-1] not in blank and raw[b] not in blank:
+        n -= 1
+    return n
 
 
 def runs_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,36 +301,36 @@ def cut_runs(raw: bytes, starts: np.ndarray, ends: np.ndarray, whole_characters:
     return b"".join(left), removed, runs
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mean: int = 40, least: int = 8, most: int = 256, min_run: int = 150, keep_text: bool = False) -> DataFrame:
+def dedup(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mean: int = 32, least: int = 8, most: int = 128, reach: int = 384, min_run: int = 300, min_words: int = 50,
+    keep_text: bool = False,
+) -> DataFrame:
     """Every row of docs with its repeated runs removed: n_bytes, n_removed, n_spans, kept_sha256, and the row's other
     columns and the kept text if keep_text, else its id alone.
 
     The first place of a chunk is that with the smallest id, then the smallest offset. Null and empty texts have nothing to
     remove; a row without id is left as it is and owns nothing that has an id; rows that repeat an id must repeat the text,
-    and keep it alike. Runs shrink to whole characters. Columns of docs named like the results are replaced.
+    and keep it alike. Runs shrink to whole characters. Columns of docs named like the results are replaced; an empty table
+    gives an empty one.
     """
-    spans = repeated_chunks(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, mean=mean, least=least, most=most)
+    spans = repeated_chunks(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col=id_col, text_col=text_col, mean=mean, least=least, most=most)
     spans = materialize(spans.groupBy("id").agg(F.collect_list(F.struct("starts", "lens", "owners", "places")).alias("spans")), "substring_spans")
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    ends = run_ends(texts, spans, most=most).withColumnRenamed("id", "id_")
-    spans = spans.select("id", F.transform("spans", lambda x: F.struct(x["starts"].alias("starts"), x["lens"].alias("lens"))).alias("spans"))
-    spans = spans.join(ends.hint("merge"), F.col("id") == F.col("id_"), "left").drop("id_")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ends = segment_ends(texts, spans, reach=reach)
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kept = [c for c in docs.columns if c not in new] if keep_text else [id_col]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if not (keep_text and c == text_col)]).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("key"))
-    joined = rows.join(spans, F.col("key") == F.col("id"), "left").select("row", "text", "spans", "ends")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if not (keep_text and c == text_col)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("key"))
+    joined = rows.join(ends.hint("merge"), F.col("key") == F.col("id"), "left").select("row", "text", "ends")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts, found, n_bytes, n_removed, n_spans, sha = [], part.column(2).to_pylist(), [], [], [], []
-                for text, spans_, ends_ in zip(part.column(1).to_pylist(), found, part.column(3).to_pylist(), strict=True):
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts, n_bytes, n_removed, n_spans, sha = [], [], [], [], []
+                for text, ends_ in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     raw = (text or "").encode()
-                    start, size = _joined(spans_, "starts", np.int32), _joined(spans_, "lens", np.int32)
-                    a, b = runs_of(*grown(raw, *runs_of(start, start + size), ends_ or []))
-                    long = b - a >= min_run
-                    left, gone, runs = cut_runs(raw, a[long], b[long])
+                    long = [x for x in grown(raw, ends_ or []).values() if x[1] - x[0] >= min_run or whole_words(raw, *x) >= min_words]
+                    left, gone, runs = cut_runs(raw, *runs_of(np.array([x[0] for x in long], np.int64), np.array([x[1] for x in long], np.int64)))
                     texts.append(None if text is None else left.decode())
                     n_bytes.append(len(raw))
                     n_removed.append(gone)
@@ -279,7 +341,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", me
                 columns += [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
+    schema = T.StructType([T.StructField(c, T.StringType()) if keep_text and c == text_col else docs.schema[c] for c in kept])
     for c, kind in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.StringType()), strict=True):
         schema = schema.add(c, kind)
     return joined.mapInArrow(apply, schema)

@@ -453,6 +453,74 @@ def test_substring_finds_short_passages_wherever_they_are(spark):
     assert missed <= 6
 
 
+def earlier_cover(rows, sizes):
+    """Of each document, for each size the mask of bytes in strings of that size that start at an earlier place."""
+    out = {}
+    for size in sizes:
+        seen = set()
+        for i, text in sorted(rows):
+            raw = (text or "").encode()
+            mask = np.zeros(len(raw), bool)
+            fresh = set()
+            for p in range(len(raw) - size + 1):
+                x = raw[p : p + size]
+                if x in seen or x in fresh:
+                    mask[p : p + size] = True
+                fresh.add(x)
+            seen |= fresh
+            out[i, size] = mask
+    return out
+
+
+def removed_mask(raw, left, n_spans):
+    """Mask of removed bytes of raw, from what is left: greedy alignment over the removed runs is ambiguous only at equal bytes."""
+    import difflib
+
+    mask = np.ones(len(raw), bool)
+    for tag, a, b, _, _ in difflib.SequenceMatcher(None, raw, left, autojunk=False).get_opcodes():
+        if tag == "equal":
+            mask[a:b] = False
+    return mask
+
+
+def test_substring_against_brute_force(spark):
+    """What goes lies in strings that occur earlier, and what lies in 300-byte strings that occur earlier in other documents goes."""
+    r = random.Random(17)
+    vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(3, 10))) for _ in range(3000)]
+    say = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    shared = [say(r.randint(45, 140)) for _ in range(12)]
+    rows = [(0, None), (1, ""), (2, say(30)), (3, say(30) + " " + shared[0][:290])]
+    for i in range(4, 70):
+        text = say(r.randint(3, 60))
+        for _ in range(r.randint(0, 2)):
+            p = r.choice(shared)
+            a = r.randrange(0, len(p) // 3)
+            text += " " + p[a:] + "\n" + say(r.randint(1, 40))
+        rows.append((i, text))
+    rows.append((90, rows[40][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = by_id(substring.dedup(df, keep_text=True))
+    cover = earlier_cover(rows, (40, 300))
+    must = got = 0
+    for i, text in rows:
+        raw, left = (text or "").encode(), (found[i]["text"] or "").encode()
+        gone = removed_mask(raw, left, found[i]["n_spans"])
+        assert gone.sum() == found[i]["n_removed"] == len(raw) - len(left)
+        assert not (gone & ~cover[i, 40]).any() or gone[~cover[i, 40]].sum() <= 4 * found[i]["n_spans"]
+        must += cover[i, 300].sum()
+        got += (gone & cover[i, 300]).sum()
+        assert not cover[i, 300].any() or gone.any(), i
+    assert must > 5000 and got >= 0.95 * must
+    twice = by_id(substring.dedup(df.unionAll(df).repartition(3)))
+    assert {i: r["kept_sha256"] for i, r in twice.items()} == {i: r["kept_sha256"] for i, r in found.items()}
+
+
+def test_segments_have_one_owner_and_one_diagonal():
+    start, size = np.array([30, 10, 20, 60, 70]), np.array([5, 10, 10, 10, 10])
+    owner, place = np.array([1, 1, 1, 1, 2]), np.array([120, 100, 110, 7, 17])
+    assert substring.segments(start, size, owner, place) == [(10, 35, 1, 100), (60, 70, 1, 7), (70, 80, 2, 17)]
+
+
 def test_gear_hash_is_the_rolling_sum():
     data = np.frombuffer(random.Random(1).randbytes(200), np.uint8)
     got = substring.gear_hash(data)
