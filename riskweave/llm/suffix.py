@@ -2,12 +2,17 @@
 
 Anchors: of the 64-byte grams in each stretch of `length` bytes, the one with the least hash. Equal strings of `length`
 bytes have an anchor in common, at the same place in them, so only grams that are anchors twice or more matter, each with
-the window of text that such strings around it can reach. Equal windows are one class, found by digest and counted before
-any text moves. Where an anchor has several classes, one window of each goes to the anchor's task, which builds the
-Burrows-Wheeler order of small shards of windows over an alphabet of 200-byte blocks, merges the shards by iterative
-interleave refinement (each pass reads every shard's preceding blocks in the interleaved order and deals them stably by
-block, which sorts one block deeper, until `length` is reached), and takes common prefixes and repeated intervals from the
-passes in which neighbours part. Suffixes are never sorted again across shards. Intervals with two places are repeats.
+the window of text that such strings around it can reach. Equal windows around an anchor are one class, of which two
+places, the first and the last, go on; of other windows each.
+
+The windows of an anchor meet in a task. There each window is parsed into phrases, cut where the least of some neighbouring
+grams begins, so that equal strings have the same phrases but for their ends. Shards of windows get a suffix array and a
+Burrows-Wheeler transform of their own, over the alphabet of phrases. The transforms are merged by iterative interleave
+refinement: the interleave says from which shard each suffix in the merged order comes; a pass reads each shard's transform
+in its own order as the interleave calls for it, and deals the interleave stably by the symbols read, which makes it right
+for one phrase more. Orders within a shard come from its transform alone and no suffix is sorted again. The pass in which
+two neighbours part gives their common prefix, in phrases; intervals in which it reaches the phrases that a string of
+`length` bytes has at least are repeated ones, and only strings in them are compared, by the hash of their whole bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +32,8 @@ from riskweave.llm.substring import cut_runs, runs_of
 from riskweave.llm.textbytes import longs, utf8
 
 GRAM = 64
-DEPTH = 2
+#: Bytes of the grams that cut phrases.
+PHRASE_GRAM = 16
 #: Positions whose anchors are chosen at once; bits that hold a position.
 PLACE_BITS = 20
 #: Bytes of windows merged at once, and of a shard of them.
@@ -35,115 +41,147 @@ MERGE = 1 << 20
 SHARD = 1 << 18
 
 
-def anchors(data: np.ndarray, length: int) -> np.ndarray:
-    """Ascending positions of the grams with the least hash (the last, in a tie) of each stretch of `length` bytes."""
-    w = length - GRAM + 1
-    if len(data) < length:
-        return np.zeros(0, np.int64)
+def least_places(hashed: np.ndarray, w: int) -> np.ndarray:
+    """For each stretch of w neighbours in hashed, the place of its least value (the last, in a tie, of the bits compared)."""
     mask = np.uint64((1 << PLACE_BITS) - 1)
     step = (1 << PLACE_BITS) - w
-    found = []
-    grams = len(data) - GRAM + 1
-    for at in range(0, grams - w + 1, step):
-        part = PrefixHash(data[at : at + step + w - 1 + GRAM - 1]).windows(GRAM)
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(hashed) - w + 1, step):
+        part = hashed[at : at + step + w - 1]
         m = len(part)
-        keyed = (part & ~mask) | (mask - np.arange(m, dtype=np.uint64))
         full = np.full(-(-m // w) * w, np.iinfo(np.uint64).max, np.uint64)
-        full[:m] = keyed
+        full[:m] = (part & ~mask) | (mask - np.arange(m, dtype=np.uint64))
         rows = full.reshape(-1, w)
         head = np.minimum.accumulate(rows, axis=1).ravel()
         tail = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(tail[: m - w + 1], head[w - 1 : m])
-        place = (mask - (least & mask)).astype(np.int64)
-        found.append(place[np.r_[True, place[1:] != place[:-1]]] + at)
-    return np.unique(np.concatenate(found))
-
-
-class Blocks:
-    """Suffixes of windows over an alphabet of blocks: block[p] is the rank of the block at p, next[p] the suffix one
-    block on. A block that occurs once can't be in a repeat: like the end of a window it starts no suffix (both -1)."""
-
-    def __init__(self, windows: list[bytes], size: int):
-        sizes = np.array([len(w) for w in windows], np.int64)
-        self.end = np.cumsum(sizes)
-        self.start = self.end - sizes
-        data = np.frombuffer(b"".join(windows), np.uint8)
-        self.n, self.size = len(data), size
-        self.window = np.repeat(np.arange(len(windows), dtype=np.int32), sizes)
-        room = np.repeat(self.end, sizes) - np.arange(self.n)
-        ids = np.flatnonzero(room >= size).astype(np.int32)
-        del room
-        hashes = PrefixHash(data).windows(size)[ids]
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
-        alive = ~(new & np.r_[new[1:], True]) if len(new) else new
-        self.block = np.full(self.n + size, -1, np.int32)
-        self.block[ids[order[alive]]] = np.cumsum(new)[alive]
-        del hashes, order
-        self.suffixes = np.flatnonzero(self.block >= 0).astype(np.int32)
-        self.next = np.full(self.n, -1, np.int32)
-        on = self.suffixes + size
-        on = np.where((self.block[on] >= 0) & (on < self.end[self.window[self.suffixes]]), on, -1)
-        self.next[self.suffixes] = on
-        self.last = self.suffixes[on < 0]
-
-    def refine(self, order: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """One pass: the suffixes of `order`, sorted by h blocks, sorted by h + 1. Their preceding blocks are read in order,
-        after the suffixes that nothing follows, and dealt stably by block."""
-        before = order - self.size
-        before = before[before >= 0]
-        read = np.concatenate([last, before[self.next[before] >= 0]])
-        n = len(read)
-        return read[np.argsort(self.block[read].astype(np.int64) * n + np.arange(n))]
-
-
-def merged_order(blocks: Blocks, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): all suffixes by their first `depth` blocks, and how many of these each shares with the one before it."""
-    shard_of = (blocks.start // SHARD)[blocks.window]
-    of = shard_of[blocks.suffixes]
-    orders = []
-    for s in np.unique(of):
-        mine = blocks.suffixes[of == s]
-        last = blocks.last[shard_of[blocks.last] == s]
-        for _ in range(depth if len(np.unique(of)) > 1 else 0):
-            mine = blocks.refine(mine, last)
-        orders.append(mine)
-    order = np.concatenate(orders)
-    group = np.zeros(blocks.n + 1, np.int32)  # place -1 stands for the end of a window, which differs from the second pass on
-    passes = []
-    for _ in range(depth):
-        order = blocks.refine(order, blocks.last)
-        b, g = blocks.block[order], group[blocks.next[order]]
-        parts = np.r_[True, (b[1:] != b[:-1]) | (g[1:] != g[:-1])]
-        group = np.zeros(blocks.n + 1, np.int32)
-        group[order] = np.cumsum(parts)
-        passes.append(group)
-    common = np.zeros(len(order), np.int64)
-    for group in passes:  # neighbours share as many blocks as there are passes that leave them together
-        common[1:] += group[order[1:]] == group[order[:-1]]
+        found.append((mask - (least & mask)).astype(np.int64) + at)
+    return np.concatenate(found)
+
+
+def anchors(data: np.ndarray, length: int) -> np.ndarray:
+    """Ascending positions of the grams with the least hash of each stretch of `length` bytes."""
+    if len(data) < length:
+        return np.zeros(0, np.int64)
+    return np.unique(least_places(PrefixHash(data).windows(GRAM), length - GRAM + 1))
+
+
+def phrase_width(length: int) -> tuple[int, int]:
+    """(w, depth): phrases are cut at the least of w grams; every string of `length` bytes has `depth` phrases that its own
+    bytes settle: cuts w - 1 bytes or more from its begin and w + PHRASE_GRAM - 2 from its end, at most w apart."""
+    w = max(2, min(32, (length - PHRASE_GRAM) // 8))
+    return w, (length - PHRASE_GRAM - 2 * w + 3) // w - 1
+
+
+def suffix_order(rank: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by doubling; rank: symbols, of which the terminators differ from each other and all else."""
+    n, reach = len(rank), 1
+    while True:
+        key = rank.astype(np.int64) * (int(rank.max()) + 1) + rank[np.minimum(np.arange(n) + reach, n - 1)]
+        order = np.argsort(key, kind="stable")
+        new = np.r_[False, np.diff(key[order]) != 0]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if new[1:].all():
+            return order
+        reach *= 2
+
+
+class Shard:
+    """Suffix array and Burrows-Wheeler transform of some strings; symbols: their phrases, each string ended by a zero."""
+
+    def __init__(self, symbols: np.ndarray):
+        ends = np.flatnonzero(symbols == 0)
+        self.strings = len(ends)
+        rank = symbols.astype(np.int64) + len(ends)
+        rank[ends] = np.arange(len(ends))
+        self.order = suffix_order(rank)
+        self.transform = symbols[self.order - 1]  # before a string's first phrase comes the zero that ends the one before it
+
+
+def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, common): of each suffix in the merged order, its shard, and how many symbols, `depth` at most, it shares with
+    the one before it. A shard's suffixes keep their order."""
+    transform = np.concatenate([s.transform for s in shards])
+    if transform.max(initial=0) < 1 << 16:
+        transform = transform.astype(np.uint16)  # dealt by radix
+    n, ends = len(transform), sum(s.strings for s in shards)
+    kind = np.uint16 if len(shards) < 1 << 16 else np.int64
+    source = np.repeat(np.arange(len(shards), dtype=kind), [len(s.order) for s in shards])
+    terminators = np.repeat(np.arange(len(shards), dtype=kind), [s.strings for s in shards])
+    common, block = np.full(n, depth), np.zeros(n, np.int64)
+    symbol = np.empty(n, transform.dtype)
+    for shared in range(depth):
+        symbol[np.argsort(source, kind="stable")] = transform
+        dealt = np.argsort(symbol, kind="stable")[ends:]
+        parts = np.ones(n, bool)
+        parts[ends + 1 :] = (np.diff(symbol[dealt].astype(np.int64)) != 0) | (np.diff(block[dealt]) != 0)
+        common[parts] = np.minimum(common[parts], shared)
+        block = np.cumsum(parts)
+        source = np.r_[terminators, source[dealt]]
+    return source, common
+
+
+def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in the merged order, numbered through the shards; common)."""
+    source, common = interleave(shards, depth)
+    base = np.cumsum([0, *(len(s.order) for s in shards)])
+    order = np.empty(len(source), np.int64)
+    order[np.argsort(source, kind="stable")] = np.concatenate([s.order + b for s, b in zip(shards, base[:-1], strict=True)])
     return order, common
 
 
-def repeated_starts(windows: list[bytes], places: np.ndarray, length: int, depth: int = DEPTH) -> np.ndarray:
+def repeated_starts(windows: list[bytes], places: np.ndarray, length: int) -> np.ndarray:
     """Positions in the joined windows at which a string of `length` bytes starts that starts at another place too.
 
     places: of each window's first byte, so that windows that overlap in a document don't repeat each other.
     """
-    blocks = Blocks(windows, length // depth)
-    if not len(blocks.suffixes):
-        return np.zeros(0, np.int64)
-    order, common = merged_order(blocks, depth)
-    last = order
-    for _ in range(depth - 1):
-        last = np.where(last >= 0, blocks.next[last], -1)
-    order, common = order[last >= 0], common[last >= 0]  # what ends before is in no full interval
-    if not len(order):
-        return order
-    edge = np.flatnonzero(np.r_[True, common[1:] < depth])
-    place = places[blocks.window[order]] + (order - blocks.start[blocks.window[order]])
-    repeated = np.minimum.reduceat(place, edge) != np.maximum.reduceat(place, edge)
-    return order[np.repeat(repeated, np.diff(np.r_[edge, len(order)]))]
+    w, depth = phrase_width(length)
+    sizes = np.array([len(x) for x in windows], np.int64)
+    end = np.cumsum(sizes)
+    start = end - sizes
+    data = np.frombuffer(b"".join(windows), np.uint8)
+    none = np.zeros(0, np.int64)
+    if len(data) < length:
+        return none
+    hashes = PrefixHash(data)
+    window = np.repeat(np.arange(len(windows), dtype=np.int32), sizes)
+    room = end[window] - np.arange(len(data))
+    least = least_places(hashes.windows(PHRASE_GRAM), w)
+    cuts = np.unique(least[room[: len(least)] >= w - 1 + PHRASE_GRAM])
+    inside = np.flatnonzero(window[cuts[1:]] == window[cuts[:-1]])  # phrases begin at these cuts and end at the next
+    if not len(inside):
+        return none
+    begin = cuts[inside]
+    symbol = np.unique(hashes.spans(begin, cuts[inside + 1]), return_inverse=True)[1] + 1
+    mine = window[begin]
+    ends = np.flatnonzero(np.r_[mine[1:] != mine[:-1], True]) + 1  # a string ends after these phrases
+    symbols = np.insert(symbol, ends, 0)
+    at = np.insert(begin, ends, -1)
+    borders = np.r_[0, np.flatnonzero(np.diff(start[mine[ends - 1]] // SHARD)) + 1, len(ends)]
+    edges = np.r_[0, ends + np.arange(1, len(ends) + 1)][borders]
+    order, common = merged([Shard(symbols[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], depth)
+    first = np.flatnonzero(common < depth)
+    cut = at[order]
+    place = np.where(cut >= 0, places[window[cut]] + cut - start[window[cut]], -1)
+    several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
+    live = np.sort(cut[np.repeat(several, np.diff(np.r_[first, len(order)]))])  # cuts in repeated intervals
+    # A string's interval is that of its first cut w - 1 bytes or more from its begin.
+    before = cuts[np.maximum(np.searchsorted(cuts, live) - 1, 0)]
+    low = start[window[live]]
+    low = np.where((before < live) & (before >= low), np.maximum(low, before - w + 2), low)
+    high = np.minimum(live - w + 1, end[window[live]] - length)
+    count = np.maximum(0, high - low + 1)
+    starts = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    if not len(starts):
+        return none
+    whole = hashes.windows(length)[starts]
+    by = np.argsort(whole, kind="stable")
+    starts, whole = starts[by], whole[by]
+    first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+    place = places[window[starts]] + starts - start[window[starts]]
+    several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
+    return starts[np.repeat(several, np.diff(np.r_[first, len(starts)]))]
 
 
 def _find(length: int):
@@ -179,22 +217,22 @@ def _find(length: int):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "win", "id", "begin", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["anchor", "win", "id", "again", "begin", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             rows = []
             for r in batch.slice(at, 200).to_pylist():
                 raw = (r["text"] or "").encode()
-                rows += [(w["anchor"], w["win"], r["id"], w["begin"], raw[w["begin"] : w["begin"] + w["size"]]) for w in r["wins"]]
+                rows += [(w["anchor"], w["win"], r["id"], w["again"], w["begin"], raw[w["begin"] : w["begin"] + w["size"]]) for w in r["wins"]]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(kinds)], names=names)
 
 
 def _merge(length: int):
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        windows = [r[4] for r in rows]
-        number = {d: i for i, d in enumerate(sorted({r[2] for r in rows}))}
-        places = np.array([(number[r[2]] << 40) + r[3] for r in rows], np.int64)
+        windows = [r[5] for r in rows]
+        number = {d: i for i, d in enumerate(sorted({r[2:4] for r in rows}))}
+        places = np.array([(number[r[2:4]] << 40) + r[4] for r in rows], np.int64)
         starts = np.sort(repeated_starts(windows, places, length))
         borders = np.cumsum([0, *(len(w) for w in windows)])
         edges = np.searchsorted(starts, borders)
@@ -216,7 +254,7 @@ def _merge(length: int):
                     yield settle(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield settle(held)
 
@@ -228,29 +266,27 @@ def repeated_spans(docs: DataFrame, *, length: int, id_col: str, text_col: str)
     spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = materialize(source.mapInArrow(_find(length), "anchor long, win long, id long, pos int, head int, size int"), "suffix_anchors")
-    shared = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n"), F.min("win").alias("lo"), F.max("win").alias("hi"))
-    shared = materialize(shared.where("n > 1").select("anchor_", (F.col("lo") != F.col("hi")).alias("several")), "suffix_shared")
+    shared = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n")).where("n > 1").select("anchor_")
     live = materialize(found.join(shared, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "suffix_live")
-    classes = live.groupBy("anchor", "win").agg(F.count("*").alias("n"), F.max("several").alias("several"), F.min("id").alias("id"), F.min_by("pos", "id").alias("pos"), F.max("head").alias("head"), F.max("size").alias("size"))
-    classes = materialize(classes, "suffix_classes")
-    wins = classes.where("several").groupBy(F.col("id").alias("id_")).agg(F.collect_list(F.struct("anchor", "win", (F.col("pos") - F.col("head")).cast("long").alias("begin"), "size")).alias("wins"))
+    place = F.struct("id", (F.col("pos") - F.col("head")).cast("long").alias("begin"), "size")
+    classes = live.groupBy("anchor", "win").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    # Rows that repeat an id are places of their own: `again` tells two that have all else in common.
+    pair = F.array(F.struct("lo.*", F.lit(False).alias("again")), F.struct("hi.*", (F.col("lo") == F.col("hi")).alias("again")))
+    wins = classes.select("anchor", "win", F.explode(F.when(F.col("n") > 1, pair).otherwise(F.slice(pair, 1, 1))).alias("w"))
+    wins = wins.groupBy(F.col("w.id").alias("id_")).agg(F.collect_list(F.struct("anchor", "win", "w.again", "w.begin", "w.size")).alias("wins"))
     # Rows that repeat an id repeat its text; one of them serves.
-    texts = source.join(wins, F.col("id") == F.col("id_")).drop("id_").mapInArrow(_texts, "anchor long, win long, id long, begin long, text binary")
+    texts = source.join(wins, F.col("id") == F.col("id_")).drop("id_").mapInArrow(_texts, "anchor long, win long, id long, again boolean, begin long, text binary")
     texts = texts.repartition(parallelism(spark), "anchor").sortWithinPartitions("anchor", "win")
-    merged = texts.mapInArrow(_merge(length), "anchor long, win long, a binary, b binary").dropDuplicates(["anchor", "win"]).select(F.col("anchor").alias("anchor_"), F.col("win").alias("win_"), "a", "b")
-    marks = classes.join(merged, (F.col("anchor") == F.col("anchor_")) & (F.col("win") == F.col("win_")), "left")
-    whole = (F.col("n") > 1) & (F.col("size") >= length)
-    marks = marks.where(whole | F.col("a").isNotNull()).select(F.col("anchor").alias("anchor_"), F.col("win").alias("win_"), whole.alias("whole"), F.when(~whole, F.col("a")).alias("a"), F.when(~whole, F.col("b")).alias("b"))
-    marks = materialize(marks, "suffix_marks")
+    marks = texts.mapInArrow(_merge(length), "anchor long, win long, a binary, b binary").dropDuplicates(["anchor", "win"])
+    marks = materialize(marks.select(F.col("anchor").alias("anchor_"), F.col("win").alias("win_"), "a", "b"), "suffix_marks")
     hit = live.join(marks, (F.col("anchor") == F.col("anchor_")) & (F.col("win") == F.col("win_")))
-    span = F.struct((F.col("pos") - F.col("head")).alias("base"), F.when(F.col("whole"), F.col("size")).alias("size"), "a", "b")
-    return hit.groupBy("id").agg(F.collect_list(span).alias("spans"))
+    return hit.groupBy("id").agg(F.collect_list(F.struct((F.col("pos") - F.col("head")).alias("base"), "a", "b")).alias("spans"))
 
 
 def dedup(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 of the UTF-8 bytes that are left, joined.
 
-    A byte goes if a string of `length` bytes (an even number) covers it that also starts anywhere else, in the same text
+    A byte goes if a string of `length` bytes (more than 64) covers it that also starts anywhere else, in the same text
     or another; all strings are judged on the input. Null and empty texts have no bytes. A row without id takes no part.
     Rows that repeat an id must repeat its text; each counts as a place of its own. Other columns are ignored.
     """
@@ -268,8 +304,8 @@ def dedup(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_co
                     a = [np.zeros(0, np.int64)]
                     b = [np.zeros(0, np.int64)]
                     for s in spans_ or []:
-                        a.append(s["base"] + (np.zeros(1, np.int64) if s["a"] is None else np.frombuffer(s["a"], np.int32)))
-                        b.append(s["base"] + (np.array([s["size"]]) if s["b"] is None else np.frombuffer(s["b"], np.int32)))
+                        a.append(s["base"] + np.frombuffer(s["a"], np.int32))
+                        b.append(s["base"] + np.frombuffer(s["b"], np.int32))
                     left, gone, runs = cut_runs(raw, *runs_of(np.concatenate(a), np.concatenate(b)), whole_characters=False)
                     out.append((i, len(raw), gone, runs, hashlib.sha256(left).hexdigest()))
                 kinds = [pa.int64()] * 4 + [pa.string()]

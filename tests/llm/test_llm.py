@@ -371,7 +371,7 @@ def brute_suffix(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [400, 120])
+@pytest.mark.parametrize("length", [400, 120, 70])
 def test_suffix(spark, docs, empty, length):
     found = by_id(suffix.dedup(docs, length=length))
     got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found.items()}
@@ -381,35 +381,56 @@ def test_suffix(spark, docs, empty, length):
     assert suffix.dedup(empty).count() == 0
 
 
-def test_interleave_merge_on_random_windows():
+def test_interleave_merge_on_random_strings():
+    """Order and common prefixes equal those of sorted suffixes, and depend on the shards' own orders."""
     r = random.Random(6)
-    for trial in range(20):
-        text = bytes(r.choice(b"ab") for _ in range(60)) * 3 + bytes(r.choice(b"abc") for _ in range(300))
-        windows = [text[a : a + r.randint(10, 160)] for a in (r.randrange(len(text)) for _ in range(12))]
-        blocks = suffix.Blocks(windows, 5)
-        order, common = suffix.merged_order(blocks, 4)
-        joined = b"".join(windows)
-        end = blocks.end[blocks.window]
-        times = {}
-        for p in range(len(joined)):
-            if p + 5 <= end[p]:
-                times[joined[p : p + 5]] = times.get(joined[p : p + 5], 0) + 1
-
-        def tail(p):
-            out = []
-            for x in range(p, p + 20, 5):
-                if x >= end[p] or x + 5 > end[p] or times[joined[x : x + 5]] < 2:  # noqa: B023
-                    break
-                out.append(joined[x : x + 5])  # noqa: B023
-            return out
-
+    wrong = 0
+    for trial in range(60):
+        base = [r.randint(1, 3) for _ in range(12)]
+        strings = [base[r.randint(0, 6) :][: r.randint(1, 9)] + [r.randint(1, 4) for _ in range(r.randint(0, 5))] for _ in range(r.randint(2, 14))]
+        cut = sorted({0, len(strings), *(r.randint(1, len(strings)) for _ in range(3))})
+        parts = [[x for s in strings[a:b] for x in [*s, 0]] for a, b in zip(cut, cut[1:], strict=False)]
+        symbols = np.array([x for p in parts for x in p])
+        shards = [suffix.Shard(np.array(p)) for p in parts]
+        depth = r.choice([1, 3, 20])
+        order, common = suffix.merged(shards, depth)
+        ends = np.flatnonzero(symbols == 0)
+        tail = lambda p: [*symbols[p : ends[np.searchsorted(ends, p)]].tolist()]  # noqa: B023, E731
         keys = [tail(p) for p in order]
-        assert sorted(order) == sorted(blocks.suffixes)
+        assert sorted(order) == list(range(len(symbols)))
+        assert [k[:depth] for k in keys] == sorted(k[:depth] for k in keys)
         for a, b, c in zip(keys, keys[1:], common[1:], strict=False):
             same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert c == same or (a == b and c >= same)
-        groups = [tuple(k) for k in keys if len(k) == 4]
-        assert len(set(groups)) == 1 + sum(x != y for x, y in zip(groups, groups[1:], strict=False)) if groups else True
+            assert c == min(same, depth)
+        for s in shards:
+            mixed = np.random.default_rng(trial).permutation(len(s.order))
+            s.order, s.transform = s.order[mixed], s.transform[mixed]
+        order, _ = suffix.merged(shards, depth)
+        wrong += [k[:depth] for k in (tail(p) for p in order)] != sorted(k[:depth] for k in keys)
+    assert wrong > 50
+
+
+def test_repeated_starts_on_random_windows():
+    r = random.Random(7)
+    for length in (64, 120, 400):
+        for _ in range(6):
+            text = bytes(r.choice(b"abcdefg") for _ in range(3000)) + b"ab" * 500
+            windows, places = [], []
+            for i in range(14):
+                a = r.randrange(len(text) - length)
+                own = bytes(r.choice(b"xyz") for _ in range(r.randint(0, 300)))
+                windows.append(own + text[a : a + r.randint(length // 2, 2 * length)])
+                places.append(i << 40)
+            windows += [windows[3][50:], windows[5]]
+            places += [(3 << 40) + 50, 99 << 40]
+            seen = {}
+            at = 0
+            for w, p in zip(windows, places, strict=True):
+                for j in range(len(w) - length + 1):
+                    seen.setdefault(w[j : j + length], []).append((at + j, p + j))
+                at += len(w)
+            want = sorted(x for v in seen.values() if len({p for _, p in v}) > 1 for x, _ in v)
+            assert sorted(suffix.repeated_starts(windows, np.array(places), length)) == want
 
 
 def test_substring(spark, docs, empty):
