@@ -4,9 +4,9 @@
    reaches its task at most once a block. A shingle that no other text has can't be in an intersection, so a document
    whose unique shingles alone exceed what the threshold lets it lose links with nothing and is done.
 2. Equal sets are one class, of which one document goes on.
-3. The rest gets prefixes under three global orders: (frequency, hash), (frequency, another hash), (unique first, a third
-   hash). Two sets over the threshold share a token in the prefixes of every order. Postings of the first order give
-   candidates, the other orders must agree, and what passes is verified on the sets.
+3. The rest gets prefixes under three global orders: by frequency, by one hash and by another, with unique shingles first
+   in each. Two sets over the threshold share a token in the prefixes of every order. Postings of the first order give
+   candidates, the prefixes of the other orders must overlap too, and only then sets are fetched and verified.
 4. Postings are joined in two rounds, so that a group of thousands of near copies isn't paired with itself: first each
    document with its posting's centre, the one with the fewest unique shingles; then only documents that share a posting
    but are still in different components, with all that share it.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ from riskweave.llm.rolling import PrefixHash
 from riskweave.llm.scratch import materialize, parallelism
 from riskweave.llm.textbytes import longs, mix64, utf8
 
+#: Bytes of texts in a block, and slices of a partition that are counted one after the other.
 UNIT = 1 << 21
+PARTS = 8
 MANY = np.uint16(65535)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -80,16 +83,16 @@ def units(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.nd
 def document_counts(docs: DataFrame, width: int) -> DataFrame:
     """id, n (distinct shingles), shared (of these, with another document; hash collisions may add some), d1, d2 (digest of the set)."""
     spark = docs.sparkSession
-    parts = 2 * parallelism(spark)
+    parts = PARTS * parallelism(spark)
     names = ["part", "unit", "d", "i", "ids", "n", "digests", "mine"]
     kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows, hashes in units(batches, width):
+        # A block is told apart by its task and number, as blocks can be alike in all rows.
+        for unit, (ids, rows, hashes) in enumerate(units(batches, width), TaskContext.get().partitionId() << 32):
             size = np.bincount(rows, minlength=len(ids))
             edges = np.cumsum(np.r_[0, size])
             digests = b"".join(xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True))
-            unit = xxhash.xxh3_64_intdigest(ids.tobytes() + digests) >> 1
             order = np.argsort(hashes)
             h, r = hashes[order], rows[order]
             new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
@@ -105,56 +108,62 @@ def document_counts(docs: DataFrame, width: int) -> DataFrame:
             rows_out.append((unit % parts, unit, None, None, ids.tobytes(), size.astype(np.int64).tobytes(), digests, mine.astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows_out], t) for j, t in enumerate(kinds)], names=names)
 
+    def counted(entries: list[tuple]) -> pa.RecordBatch:
+        """Of one part, for each block the documents whose token another block has too, once for each such token."""
+        d = np.frombuffer(b"".join([x[1] for x in entries]), np.uint32)
+        i = np.frombuffer(b"".join([x[2] for x in entries]), np.uint16)
+        order = np.argsort(d)
+        ds = d[order]
+        at = np.flatnonzero(np.r_[True, ds[1:] != ds[:-1]])
+        times = np.diff(np.r_[at, len(ds)])
+        found = np.sort(order[np.repeat(times > 1, times)])
+        found = found[i[found] != MANY]
+        cut = np.searchsorted(found, np.cumsum([0, *(len(x[2]) // 2 for x in entries)]))
+        out = [(x[0], i[found[a:b]].tobytes()) for x, a, b in zip(entries, cut[:-1], cut[1:], strict=True) if b > a]
+        none = pa.nulls(len(out), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), none, none, none, none], names=["unit", "i", "ids", "n", "digests", "mine"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        """Rows come in order of part, which is counted when it is complete."""
+        held: list[tuple] = []
+        part = None
         for batch in batches:
             through = batch.filter(pa.compute.is_valid(batch.column("ids")))
             if through.num_rows:
-                yield pa.RecordBatch.from_arrays([through.column(c) for c in ("unit", "i", "ids", "n", "digests", "mine")], names=["unit", "i", "ids", "n", "digests", "mine"])
-            for r in batch.to_pylist():
-                if r["ids"] is None:
-                    held.setdefault(r["part"], []).append((r["unit"], r["d"], r["i"]))
-        for entries in held.values():
-            d = np.concatenate([np.frombuffer(x[1], np.uint32) for x in entries])
-            i = np.concatenate([np.frombuffer(x[2], np.uint16) for x in entries])
-            u = np.repeat(np.arange(len(entries)), [len(x[2]) // 2 for x in entries])
-            order = np.argsort(d)
-            ds = d[order]
-            at = np.flatnonzero(np.r_[True, ds[1:] != ds[:-1]])
-            times = np.diff(np.r_[at, len(ds)])
-            found = order[np.repeat(times > 1, times)]
-            found = found[i[found] != MANY]
-            found = found[np.argsort(u[found], kind="stable")]
-            cut = np.searchsorted(u[found], np.arange(len(entries) + 1))
-            out = [(entries[k][0], i[found[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            none = pa.nulls(len(out), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), none, none, none, none], names=["unit", "i", "ids", "n", "digests", "mine"])
+                yield through.select(["unit", "i", "ids", "n", "digests", "mine"])
+            for r in batch.filter(pa.compute.is_null(batch.column("ids"))).to_pylist():
+                if held and part != r["part"]:
+                    yield counted(held)
+                    held = []
+                part = r["part"]
+                held.append((r["unit"], r["d"], r["i"]))
+        if held:
+            yield counted(held)
+
+    def gathered(rows: list[dict]) -> pa.RecordBatch:
+        head = next(r for r in rows if r["ids"] is not None)
+        ids, n = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["n"], np.int64)
+        total = np.frombuffer(head["mine"], np.int64).copy()
+        for r in rows:
+            if r["ids"] is None:
+                total += np.bincount(np.frombuffer(r["i"], np.uint16), minlength=len(ids))
+        digest = np.frombuffer(head["digests"], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, n, total, digest[:, 0].copy(), digest[:, 1].copy())], names=["id", "n", "shared", "d1", "d2"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared: dict[int, np.ndarray] = {}
-        head: dict[int, dict] = {}
+        held: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["ids"] is not None:
-                    head[r["unit"]] = r
-                else:
-                    got = np.bincount(np.frombuffer(r["i"], np.uint16))
-                    have = shared.get(r["unit"], np.zeros(0, np.int64))
-                    if len(have) < len(got):
-                        have, got = got.astype(np.int64), have
-                    have[: len(got)] += got
-                    shared[r["unit"]] = have
-        for unit, r in head.items():
-            ids, n = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["n"], np.int64)
-            total = np.frombuffer(r["mine"], np.int64).copy()
-            got = shared.get(unit, np.zeros(0, np.int64))
-            total[: len(got)] += got
-            digest = np.frombuffer(r["digests"], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, n, total, digest[:, 0].copy(), digest[:, 1].copy())], names=["id", "n", "shared", "d1", "d2"])
+                if held and held[0]["unit"] != r["unit"]:
+                    yield gathered(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield gathered(held)
 
     blobs = docs.mapInArrow(split, "part int, unit long, d binary, i binary, ids binary, n binary, digests binary, mine binary")
-    counted = blobs.repartition(parallelism(spark), "part").mapInArrow(count, "unit long, i binary, ids binary, n binary, digests binary, mine binary")
-    return counted.repartition(parallelism(spark), "unit").mapInArrow(gather, "id long, n long, shared long, d1 long, d2 long")
+    found = blobs.repartition(parallelism(spark), "part").sortWithinPartitions("part").mapInArrow(count, "unit long, i binary, ids binary, n binary, digests binary, mine binary")
+    return found.repartition(parallelism(spark), "unit").sortWithinPartitions("unit").mapInArrow(gather, "id long, n long, shared long, d1 long, d2 long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -184,11 +193,11 @@ def jaccard_links(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col:
 
     Two documents link if 100 * intersection >= percent * union of their sets of shingles; component_id is the smallest id
     that links reach. Texts without words, or null, have an empty set and link with nothing. Rows that repeat an id are one
-    document if they repeat its text. A row without id gets its count and no component. Shingles are compared by 64-bit
+    document, and a row each of the result, if they repeat its text. A row without id gets its count and no component. Shingles are compared by 64-bit
     hashes. Other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     counts = materialize(document_counts(source, width), "jaccard_counts")
     no_id = int(np.iinfo(np.int64).min)
     real = (F.col("n") > 0) & (F.col("id") != no_id)
@@ -216,14 +225,15 @@ def jaccard_links(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col:
     bits = [F.expr(f"aggregate(filter(held, x -> pmod(xxhash64(x.token, 4), 4) = {w}), 0L, (a, x) -> a ^ shiftleft(1L, cast(pmod(xxhash64(x.token, 5), 64) as int)))").alias(f"b{w}") for w in range(4)]
     index = known.select(
         "id", "n", (F.col("n") - F.size("held")).alias("unique"), F.transform("held", lambda x: x["token"]).alias("tokens"),
-        by(named(lambda x: x["df"], salted(1))).alias("p1"), by(named(lambda x: x["df"], salted(2))).alias("p2"), by(named(salted(3))).alias("p3"), *bits,
+        by(named(lambda x: x["df"], salted(1))).alias("p1"), by(named(salted(2))).alias("p2"), by(named(salted(3))).alias("p3"), *bits,
     )
     index = materialize(index, "jaccard_index")
     posting = materialize(index.select("id", "n", "unique", F.size("tokens").alias("held"), F.struct("b0", "b1", "b2", "b3").alias("bits"), F.explode("p1").alias("token")), "jaccard_postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: index.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "tokens", "p2", "p3")))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+        side = lambda x, *names: index.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names))
+        both = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+        both = both.select("a", "b").join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b")
         inter = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.where(100 * inter >= percent * (F.col("n_a") + F.col("n_b") - inter)).select("a", "b")
 

@@ -299,6 +299,14 @@ def test_jaccard(spark, docs, empty, width, percent):
     assert jaccard.jaccard_links(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [None, 1, 3])
+def test_jaccard_of_a_table_united_with_itself(spark, docs, parts):
+    """Blocks that are alike in all rows stay apart: every row comes back, whatever the partitioning."""
+    twice = docs.unionAll(docs) if parts is None else docs.unionAll(docs).repartition(parts)
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_links(twice).collect())
+    assert found == sorted((i, *x) for i, x in brute_components(ROWS, 4, 85).items() for _ in range(2))
+
+
 def test_jaccard_near_group(spark):
     r = random.Random(9)
     base = [f"w{r.randrange(10**6)}" for _ in range(150)]
@@ -381,6 +389,12 @@ def test_suffix(spark, docs, empty, length):
     assert suffix.dedup(empty).count() == 0
 
 
+def test_suffix_of_a_table_united_with_itself(spark, docs):
+    found = suffix.dedup(docs.unionAll(docs).repartition(3)).collect()
+    assert len(found) == 2 * len(ROWS)
+    assert all(r["n_removed"] == (r["n_bytes"] if r["n_bytes"] >= 400 else 0) for r in found)
+
+
 def test_interleave_merge_on_random_strings():
     """Order and common prefixes equal those of sorted suffixes, and depend on the shards' own orders."""
     r = random.Random(6)
