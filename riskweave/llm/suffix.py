@@ -42,7 +42,8 @@ SHARD = 1 << 18
 
 
 def least_places(hashed: np.ndarray, w: int) -> np.ndarray:
-    """For each stretch of w neighbours in hashed, the place of its least value (the last, in a tie, of the bits compared)."""
+    """For each stretch of w neighbours in hashed, the place of its least value (the last, in a tie, of the bits compared);
+    ascending."""
     mask = np.uint64((1 << PLACE_BITS) - 1)
     step = (1 << PLACE_BITS) - w
     found = [np.zeros(0, np.int64)]
@@ -63,7 +64,11 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     """Ascending positions of the grams with the least hash of each stretch of `length` bytes."""
     if len(data) < length:
         return np.zeros(0, np.int64)
-    return np.unique(least_places(PrefixHash(data).windows(GRAM), length - GRAM + 1))
+    return distinct(least_places(PrefixHash(data).windows(GRAM), length - GRAM + 1))
+
+
+def distinct(ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.r_[True, ascending[1:] != ascending[:-1]]] if len(ascending) else ascending
 
 
 def phrase_width(length: int) -> tuple[int, int]:
@@ -78,7 +83,7 @@ def suffix_order(rank: np.ndarray) -> np.ndarray:
     n, reach = len(rank), 1
     while True:
         key = rank.astype(np.int64) * (int(rank.max()) + 1) + rank[np.minimum(np.arange(n) + reach, n - 1)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.r_[False, np.diff(key[order]) != 0]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
@@ -148,7 +153,7 @@ def repeated_starts(windows: list[bytes], places: np.ndarray, length: int) -> np
     window = np.repeat(np.arange(len(windows), dtype=np.int32), sizes)
     room = end[window] - np.arange(len(data))
     least = least_places(hashes.windows(PHRASE_GRAM), w)
-    cuts = np.unique(least[room[: len(least)] >= w - 1 + PHRASE_GRAM])
+    cuts = distinct(least[room[: len(least)] >= w - 1 + PHRASE_GRAM])
     inside = np.flatnonzero(window[cuts[1:]] == window[cuts[:-1]])  # phrases begin at these cuts and end at the next
     if not len(inside):
         return none
@@ -176,7 +181,7 @@ def repeated_starts(windows: list[bytes], places: np.ndarray, length: int) -> np
     if not len(starts):
         return none
     whole = hashes.windows(length)[starts]
-    by = np.argsort(whole, kind="stable")
+    by = np.argsort(whole)
     starts, whole = starts[by], whole[by]
     first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
     place = places[window[starts]] + starts - start[window[starts]]
@@ -266,7 +271,7 @@ def repeated_spans(docs: DataFrame, *, length: int, id_col: str, text_col: str)
     spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = materialize(source.mapInArrow(_find(length), "anchor long, win long, id long, pos int, head int, size int"), "suffix_anchors")
-    shared = found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n")).where("n > 1").select("anchor_")
+    shared = materialize(found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n")).where("n > 1").select("anchor_"), "suffix_shared")
     live = materialize(found.join(shared, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "suffix_live")
     place = F.struct("id", (F.col("pos") - F.col("head")).cast("long").alias("begin"), "size")
     classes = live.groupBy("anchor", "win").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
