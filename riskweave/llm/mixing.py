@@ -1,17 +1,16 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of each source, its documents one after the other in a fixed pseudorandom order, are packed into blocks of
-`block` words, the last of them shorter. The mixture is a sequence of slots, at most `shard` to an output shard; a source
-has as many as blocks of its mean size make its target, and each shard draws a stratified multinomial count of them, such
-that over all shards a source is within one slot of its number. A source's slots are numbered over all shards, and slot j
-takes the block that a pseudorandom permutation of the block indexes gives for j modulo the number of blocks, so that no
-block is taken again before all have been. Blocks and slots are joined by source and index.
+`block` words, the last of them shorter. The mixture is a sequence of slots, `shard` to an output shard; a source has as
+many as blocks of its mean size make its target. All slots of all sources are dealt to the places of the sequence by one
+pseudorandom permutation, so that the counts of sources in the shards are a multinomial draw, given that over all shards
+each source comes to its number. Slot j of a source takes the block that the source's own pseudorandom permutation of its
+block indexes gives for j modulo their number, another one in each round, so that no block is taken again before all have
+been. Blocks and slots are joined by source and index.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,12 +18,12 @@ from pyspark.sql.window import Window as W
 from riskweave.llm.quality import words
 from riskweave.llm.scratch import materialize
 
-#: Multipliers of the index permutation i -> (a * i + c) mod m: primes, of which at least one does not divide m.
-PRIMES = (1_000_003, 998_244_353, 1_000_000_007)
 REPEATS = 3
-#: Documents of a source in a bucket, on average, and shards in a range of them: what one task orders at once.
+#: Rounds of a permutation: each moves about half of all numbers.
+ROUNDS = 24
+#: Documents of a source in a bucket, on average, and slots that are numbered in one row: what one task orders or makes at once.
 BUCKET_DOCS = 250
-WIDE = 1024
+WIDE = 1 << 16
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -62,16 +61,32 @@ def sums_before(rows: DataFrame, wide: str, at: str, value: str, name: str) -> D
     return rows.withColumn(name, F.col("head_") + F.col("inside_")).drop("s_", "wide_", "head_", "inside_")
 
 
-def permuted(j: Column, m: Column, s: Column) -> Column:
-    """Index permutation of 0 .. m - 1 of source s, at j."""
-    a = F.lit(PRIMES[-1])
-    for p in reversed(PRIMES[:-1]):
-        a = F.when(m % p != 0, F.lit(p)).otherwise(a)
-    return F.pmod(F.pmod(a, m) * j + F.pmod(F.xxhash64(s, F.lit("permutation")), m), m)
+def permuted(j: Column, m: Column, *key: Column) -> Column:
+    """Where a pseudorandom permutation of 0 .. m - 1 that the key chooses puts j.
+
+    Swap-or-not: in each round j and its mirror about the round's number change places or not, as a hash of the greater says.
+    """
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.xxhash64(r, *key) % m - x, m)
+        return F.when(F.xxhash64(F.greatest(x, mirror), r, *key, F.lit("side")) % 2 == 0, mirror).otherwise(x)
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), j.cast("long"), swap)
 
-def uniform(*key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") / float(1 << 53)
+
+def slots(shares: DataFrame, *, shard: int, seed: int) -> DataFrame:
+    """One row per slot: s, m, j, shard (which output shard the draw gives it to), block (which of the source's it takes).
+
+    shares: s, m (blocks of the source), n (its slots); one row per source.
+    """
+    before = F.sum("n").over(W.orderBy("s")) - F.col("n")
+    shares = shares.where("n > 0").withColumn("before", before).withColumn("all", F.sum("n").over(W.partitionBy()))
+    # Numbers in two steps, so that no row holds an array of all of a source's.
+    wide = shares.withColumn("wide", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / WIDE)))).repartition("s", "wide")
+    each = wide.withColumn("j", F.explode(F.sequence(F.col("wide") * WIDE, F.least(F.col("wide") * WIDE + (WIDE - 1), F.col("n") - 1))))
+    place = permuted(F.col("before") + F.col("j"), F.col("all"), F.lit(seed), F.lit("place"))
+    taken = permuted(F.col("j") % F.col("m"), F.col("m"), F.col("s"), F.floor(F.col("j") / F.col("m")), F.lit(seed))
+    return each.select("s", "m", "j", F.floor(place / shard).alias("shard"), taken.alias("block"))
 
 
 def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -79,7 +94,8 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     and content (the text's hash), which with the id tell what row of docs it is;
     pieces has the word ranges that the mixture takes: rid, from_word, n_words, times.
 
-    A block is taken at most 3 times, so no document gives more than 3 times its words. Null texts have size 0 and give
+    A source comes within half a block of its target, however small. A block is taken at most 3 times, so no document gives
+    more than 3 times its words. Null texts have size 0 and give
     nothing. Rows are told apart by their content, so exact repeats share their order's ties, which changes no total.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -101,26 +117,10 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     placed = materialize(placed.select(F.monotonically_increasing_id().alias("rid"), "id", "s", "source", "content", "size", "source_size", "target", (F.col("offset") + F.col("in_bucket")).alias("start")), "mix_placed")
     # Slots of a source: as its last block is short, its target counts in blocks of mean size; at 3 times its size, 3 rounds.
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    wanted = F.when(F.col("target") >= REPEATS * F.col("source_size"), (REPEATS * blocks).cast("double")).otherwise(F.col("target") * blocks / F.col("source_size"))
-    to = F.sum("wanted").over(W.orderBy("s"))
-    shares = targets.where("source_size > 0").select("s", "source_size", wanted.alias("wanted")).select("s", "source_size", (to - F.col("wanted")).alias("lo"), to.alias("hi"))
-    shares = materialize(shares.coalesce(1), "mix_shares")
-    slots = shares.agg(F.max("hi")).first()[0] or 0.0
-    shards = math.ceil(slots / shard)
-    # Systematic: shard h draws the count of b with lo / shards <= b + u_h < hi / shards. The u_h are a permutation of
-    # (i + u) / shards, i < shards, so that the draws of all shards add up to the count of b with lo <= b + u < hi.
-    u = (permuted(F.col("h"), F.lit(max(shards, 1)), F.lit(seed)) + uniform(F.lit(seed))) / max(shards, 1)
-    below = lambda x: F.ceil(x / max(shards, 1) - u).cast("long")
-    # Shard numbers in two steps, so that no row holds an array of all of them.
-    wides = -(-shards // WIDE)
-    none = F.array().cast("array<bigint>")
-    drawn = shares.withColumn("wide", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wides - 1).cast("long")) if shards else none)).repartition("s", "wide")
-    drawn = drawn.withColumn("h", F.explode(F.sequence(F.col("wide") * WIDE, F.least(F.col("wide") * WIDE + (WIDE - 1), F.lit(shards - 1).cast("long")))))
-    drawn = drawn.select("wide", "h", "s", "source_size", (below(F.col("hi")) - below(F.col("lo"))).alias("n"))
-    drawn = sums_before(drawn, "wide", "h", "n", "first").where("n > 0")
-    slot = drawn.select("s", blocks.alias("m"), F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
-    taken_blocks = slot.where(F.col("j") < REPEATS * F.col("m")).select("s", permuted(F.col("j") % F.col("m"), F.col("m"), F.col("s")).alias("block"))
-    taken_blocks = taken_blocks.groupBy("s", "block").agg(F.count("*").alias("times"))
+    wanted = F.least(REPEATS * F.col("m"), F.round(F.col("target") * F.col("m") / F.col("source_size")).cast("long"))
+    shares = targets.where("source_size > 0").withColumn("m", blocks).select("s", "m", wanted.alias("n")).coalesce(1)
+    drawn = materialize(slots(shares, shard=shard, seed=seed), "mix_slots")
+    taken_blocks = drawn.groupBy("s", "block").agg(F.count("*").alias("times"))
     parts = placed.where("size > 0").select("rid", "s", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     # Estimates of exploded rows are far too low: without the hint all blocks would be broadcast.
     joined = parts.join(taken_blocks.hint("merge"), ["s", "block"])

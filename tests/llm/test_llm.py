@@ -264,6 +264,37 @@ def test_small_sources_get_their_targets(spark):
     assert sum(found[100 + i]["taken"] for i in range(100)) == pytest.approx(found[100]["target"], rel=0.01)
 
 
+def test_index_permutations(spark):
+    """For every size a permutation, another one for another source, without a visible order."""
+    from pyspark.sql import functions as F
+
+    sizes = [1, 2, 3, 6, 7, 64, 501]
+    rows = spark.createDataFrame([(m, j) for m in sizes for j in range(m)], "m long, j long")
+    got = rows.select("m", "j", *(mixing.permuted(F.col("j"), F.col("m"), F.lit(key)).alias(f"k{key}") for key in (1, 2))).toPandas()
+    for m in sizes:
+        part = got[got.m == m].sort_values("j")
+        for k in ("k1", "k2"):
+            assert sorted(part[k]) == list(range(m))
+        if m > 60:
+            assert (part.k1 != part.k2).mean() > 0.9 and abs(np.corrcoef(part.j, part.k1)[0, 1]) < 0.3
+            assert len(set(np.diff(part.k1) % m)) > m // 3  # a shift or a multiple would have one or two
+
+
+def test_slots_are_a_multinomial_draw_with_given_sums(spark):
+    """Totals are exact, all places are filled, and counts of a source in shards vary as drawing at random makes them."""
+    n = {0: 4000, 1: 9000, 2: 500, 3: 7}
+    shares = spark.createDataFrame([(s, k // 2 + 1, k) for s, k in n.items()], "s long, m long, n long")
+    got = mixing.slots(shares, shard=100, seed=3).toPandas()
+    assert got.groupby("s").size().to_dict() == n
+    per = got.groupby(["shard", "s"]).size().unstack(fill_value=0)
+    assert set(per.sum(axis=1)[:-1]) == {100} and len(per) == 136
+    for s in (0, 1, 2):
+        p = n[s] / sum(n.values())
+        assert 0.6 < per[s][:-1].var() / (100 * p * (1 - p)) < 1.5
+    first = got[(got.s == 1) & (got.j < 4501)].sort_values("j")
+    assert sorted(first.block) == list(range(4501))
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     rows = [(1, "w " * 10, "a"), (2, "w " * 20, "b"), (3, "w " * 700, "c"), (4, "w " * 1000, None), (5, "w " * 5, "d")]
     found = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=4))
