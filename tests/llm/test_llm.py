@@ -142,25 +142,38 @@ def test_toxicity_buckets_do_not_depend_on_neighbours():
 
 def test_chat_round_trip(spark):
     r = random.Random(1)
-    bits = ["<|end|>\n", "\\", "\\l", "[INST]", "</s>", "<|user|>\n", "日本", " word", "\n", "\\\\<"]
+    bits = ["<|end|>\n", "\\", "\\l", "\\p", "[INST]", "</s>", "<|user|>\n", "日本", " word", "\n", "\\\\<", "|>", "|"]
     rows = [(-7, 0, "user", queries.CONTROL_TEXT), (-7, 1, "assistant", queries.CONTROL_TEXT), (5, 0, None, None), (5, None, "assistant", "first"), (5, 0, None, None)]
+    rows += [(6, 0, "user|>\nx", "hello"), (6, 1, "a|b\\p", "y"), (6, 2, "system", "late system " * 9), *((6, k, "assistant", "long " * 30) for k in range(3, 9))]
     for c in range(8, 20):
         for t in range(r.randint(1, 30)):
             role = "system" if t == 0 and c % 2 else ("user", "assistant")[t % 2]
             rows.append((c, t, role, "".join(r.choice(bits) for _ in range(r.randint(0, 60)))))
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = by_id(chat.format_and_read(df, stride=64), "conv_id")
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, win string")
+    found = by_id(chat.format_and_read(df, budget=64), "conv_id")
     for c in {x[0] for x in rows}:
         turns = sorted(((-1 if t is None else t, role or "", text or "") for i, t, role, text in rows if i == c))
         loss = "".join(x[2] for x in turns if x[1] == "assistant")
         assert found[c]["n_turns"] == len(turns)
         assert found[c]["turns_sha256"] == sha("".join(f"{x[1]}\n{x[2]}\n" for x in turns))
         assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(loss), sha(loss))
-    windows = chat.format_windows(df, stride=64).collect()
+    windows = chat.format_windows(df, budget=64).collect()
     assert max(w["win"] for w in windows) > 2
+    cost = lambda text: len(WORD.findall(text.encode())) + chat.TURN_COST
+    repeated = 0
     for w in windows:
-        if w["conv_id"] % 2 and w["conv_id"] > 8:
-            assert w["text"].startswith("<|system|>")
+        parts = re.findall(r"<\|([^<\[|]*)\|>\n([^<\[]*)<\|end\|>\n", w["text"])
+        system = w["n_context"] and parts[0][0] == "system"
+        assert w["tokens"] <= 64 or len(parts) == 1 + system
+        assert len(w["loss_spans"]) == sum(role == "assistant" for role, _ in parts[w["n_context"] :])
+        repeated += w["n_context"] - system
+        if w["conv_id"] % 2 and w["conv_id"] > 8 or w["conv_id"] == 6 and w["win"] > 1:
+            assert "<|system|>" in w["text"]
+    assert repeated > 5
+    plain = spark.createDataFrame([(1, k, "user", "w " * n) for k, n in enumerate([10, 20, 60, 3, 3, 3, 200, 1])], "conv_id long, turn long, role string, text string")
+    by = {w["win"]: w for w in chat.format_windows(plain, budget=64).collect()}
+    assert sum(w["tokens"] for w in by.values()) >= sum(cost("w " * n) for n in [10, 20, 60, 3, 3, 3, 200, 1])
+    assert [w["tokens"] for w in by.values() if w["tokens"] > 64] == [204]
     assert chat.format_and_read(df.limit(0)).count() == 0
 
 
