@@ -193,12 +193,35 @@ def test_quality(spark, docs, empty):
         want = brute_quality(text)
         assert {k: found[i][k] for k in want} == want, i
         assert not (found[i]["kept"] and want["base_failed"])
-    bad = spark.createDataFrame([(i, "short", "bad") for i in range(30)] + [(30, "w " + " ".join(map(str, range(40))), "bad"), (31, " ".join(map(str, range(40))), None)], "doc_id long, text string, source string")
-    kept = {i: r["kept"] for i, r in by_id(quality.quality(bad)).items()}
-    assert not any(kept[i] for i in range(31)) and kept[31]
+    good = " ".join(map(str, range(1000, 1040)))
+    odd = spark.createDataFrame([(i, "short" if i % 3 else None, "bad") for i in range(30)] + [(30, good, "bad")] + [(100 + i, good if i % 10 else "short", None if i % 2 else "fine") for i in range(300)], "doc_id long, text string, source string")
+    kept = {i: r["kept"] for i, r in by_id(quality.quality(odd)).items()}
+    assert not any(kept[i] for i in range(31)) and all(kept[100 + i] == (i % 10 > 0) for i in range(300))
     assert quality.quality(empty).count() == 0
 
 
+def test_host_verdicts(spark):
+    """A host is judged by the fleet: of hosts at 9 %, one at 45 % fails, a tiny one with two failures of three doesn't, nor
+    does any where all are at 45 %; the verdict takes good documents of the failing host along."""
+    good, short = " ".join(map(str, range(1000, 1040))), "too short"
+    bad_symbols = " ".join(["ab#cd$ef"] * 3 + [str(k) for k in range(1000, 1025)])
+    fleet = [(h, good if k % 11 else short) for h in range(20) for k in range(220)]
+    late = [("late", good if k % 20 >= 9 else short) for k in range(200)]
+    few = [("few", good), ("few", short), ("few", short)]
+    marked = [("marked", bad_symbols if k % 2 else good) for k in range(200)]
+    frame = lambda rows: spark.createDataFrame([(i, t, str(h)) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    rows = fleet + late + few + marked
+    metrics = quality.base_metrics(frame(rows))
+    found = by_id(quality.host_verdicts(metrics), "host")
+    assert {h for h, r in found.items() if r["host_failed"]} == {"late", "marked"}
+    assert 0.1 < found["few"]["rate_base"] < 2 / 3 and found["3"]["rate_base"] == pytest.approx(1 / 11, abs=0.01)
+    kept = by_id(quality.quality(frame(rows)))
+    lost = [i for i, (h, t) in enumerate(rows) if not kept[i]["kept"] and not kept[i]["base_failed"]]
+    assert {rows[i][0] for i in lost} == {"late", "marked"} and len(lost) > 250
+    same = quality.host_verdicts(quality.base_metrics(frame([(h, good if k % 20 >= 9 else short) for h in range(9) for k in range(200)])))
+    assert not any(r["host_failed"] for r in same.collect())
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(size=8) * (1 + i % 5)]) for i in range(700)]
