@@ -238,6 +238,34 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Scores beyond a double's and a long's exact range: none is lost, all are ordered exactly."""
+    rows = [(i, [float(1 << (40 + i)), -3.0, 1e15]) for i in range(0, 30)] + [(50, [1e15, 1.0, 7.0]), (100, [-3e17, 2.0, -1e18]), (150, [2.5, 1e30, -1e30]), (151, [1e308, 0.0, 0.0]), (152, [1e300, 1e300, 5.0]), (200, [0.25, 0.5, -0.25]), (201, [0.5, 0.25, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.top_k(df, chunk=8).collect()}
+    ok = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i != 151}  # 256 * 1e308 is infinite
+    for q in ok:
+        if q % 50 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(ok[q], ok[c], strict=True)), c) for c in ok if c != q))[:5]
+            assert [got[q, k + 1] for k in range(5)] == [(c, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, c in best]
+
+
+def test_sortable_scores(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    values = [0, 1, -1, (1 << 63) - 1, -(1 << 63), 1 << 63, -(1 << 63) - 1, 1 << 200, -(1 << 200), *(r.randint(-(1 << b), 1 << b) for b in range(1, 150))]
+    assert sorted(values, key=topk.sortable) == sorted(values)
+    rows = spark.createDataFrame([(str(v), bytearray(topk.sortable(v))) for v in values], "v string, b binary").select("v", topk.as_long(F.col("b")).alias("x"))
+    assert all(x == max(-(1 << 63), min((1 << 63) - 1, int(v))) for v, x in rows.collect())
+
+
+def test_top_k_leaves_out_chunks_that_are_too_short(spark):
+    """Chunks beyond the last that any query needs are not met, and the result is the same."""
+    assert topk.last_needed(np.array([2.0, 1.0]), np.array([10.0, 6.0]), [{"c": 3, "top": 9.0}, {"c": 5, "top": 5.5}, {"c": 7, "top": 4.0}], 9) == 6
+    assert topk.last_needed(np.array([2.0]), np.array([-np.inf]), [{"c": 3, "top": 9.0}, {"c": 5, "top": 0.0}], 9) == 9
+
+
 def targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
