@@ -2,7 +2,7 @@
 
 Anchors: of the 64-byte grams in each stretch of `length` bytes, the one with the least hash. Equal strings of `length`
 bytes have an anchor in common, at the same place in them, so only grams that are anchors twice or more matter, each with
-the window of text that such strings around it can reach. Equal windows around an anchor are one class, of which two
+the window of text from the first to the last string that it is the anchor of. Equal windows around an anchor are one class, of which two
 places, the first and the last, go on; of other windows each.
 
 The windows of an anchor meet in a task. There each window is parsed into phrases, cut where the least of some neighbouring
@@ -60,11 +60,14 @@ def least_places(hashed: np.ndarray, w: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def anchors(data: np.ndarray, length: int) -> np.ndarray:
-    """Ascending positions of the grams with the least hash of each stretch of `length` bytes."""
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first, last): the grams with the least hash of each stretch of `length` bytes, ascending, and the first and
+    last begin of the stretches that a gram is the least of."""
     if len(data) < length:
-        return np.zeros(0, np.int64)
-    return distinct(least_places(PrefixHash(data).windows(GRAM), length - GRAM + 1))
+        return (np.zeros(0, np.int64),) * 3
+    least = least_places(PrefixHash(data).windows(GRAM), length - GRAM + 1)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[first], first, np.r_[first[1:], len(least)] - 1
 
 
 def distinct(ascending: np.ndarray) -> np.ndarray:
@@ -192,7 +195,6 @@ def repeated_starts(windows: list[bytes], places: np.ndarray, length: int) -> np
 def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "win", "id", "pos", "head", "size"]
-        reach = length - GRAM
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = longs(batch.column(0))
@@ -200,11 +202,11 @@ def _find(length: int):
                 out: dict[str, list] = {k: [] for k in names}
                 for i in range(lo, min(lo + 500, len(ids))):
                     text = data[offsets[i] : offsets[i + 1]]
-                    pos = anchors(text, length)
+                    pos, begin, end = anchors(text, length)
                     if not len(pos):
                         continue
                     raw = text.tobytes()
-                    begin, end = np.maximum(0, pos - reach), np.minimum(len(raw), pos + length)
+                    end = end + length
                     head = pos - begin
                     spans = list(zip(begin.tolist(), end.tolist(), pos.tolist(), strict=True))
                     out["anchor"].append(np.array([xxhash.xxh3_64_intdigest(raw[p : p + GRAM]) for _, _, p in spans], np.uint64))
