@@ -1,7 +1,8 @@
 """WARC archives: a writer of gzip members with revisit records, and a splittable reader.
 
 Archives are written by Spark's text writer, one gzip member a row, each followed by one zero byte, which gzip takes as
-padding. The reader gives Spark's text reader the gzip magic as the record separator: its tasks scan byte ranges for the
+padding. The reader takes archives of others too: any record type, ids that are no page's, folded and non-ASCII headers; what
+isn't a whole record is left out or, if asked for, returned as invalid. It gives Spark's text reader the gzip magic as the record separator: its tasks scan byte ranges for the
 magic, and a range owns what starts inside it. Each candidate is validated by decoding its gzip and WARC headers; compressed
 bytes that look like a magic only cut a member, so pieces are joined until one inflates whole with the right check sum, and
 pieces that a range ends in are joined with the next range's in a second, small step.
@@ -10,8 +11,10 @@ pieces that a range ends in are joined with the next range's in a second, small
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +34,20 @@ def member(headers: dict[str, str], block: bytes, level: int = 3) -> bytes:
     return z.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """Response with its HTTP head and payload, or a revisit of the record that refers_to names, without payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """Response with its HTTP head and payload, or a revisit of the record that refers_to names, with the HTTP head alone."""
     name = lambda i: f"<urn:page:{'null' if i is None else i}>"
     clean = "".join(c for c in url or "" if c not in "\r\n")
-    common = {"WARC-Record-ID": name(page_id), "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    common = {"WARC-Record-ID": name(page_id), "WARC-Date": date, "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
         return member({"WARC-Type": "response", **common}, http + payload)
     profile = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-    return member({"WARC-Type": "revisit", **common, "WARC-Refers-To": name(refers_to), "WARC-Profile": profile, "X-Payload-Length": str(len(payload))}, http)
+    return member({"WARC-Type": "revisit", **common, "WARC-Refers-To": name(refers_to), "WARC-Profile": profile}, http)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write a record per row of pages (page_id, url, html; null html: empty) to archives under path.
+def write_archives(pages: DataFrame, path: str, *, date: str | None = None) -> None:
+    """Write a record per row of pages (page_id, url, html; null html: empty) to archives under path, dated `date` or now.
 
     Of rows with equal payloads of MIN_REVISIT bytes or more, that with the smallest page_id is the response and the others
     revisit it; a row that repeats that page_id is a response too.
@@ -56,11 +59,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
     copies = materialize(copies.select(F.col("digest").alias("digest_"), "first_id"), "warc_copies")
     joined = keyed.join(copies, F.col("digest") == F.col("digest_"), "left")
 
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = [record(i, u, h, d, f if f is not None and f != i else None) for i, u, h, d, f in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                out = [record(i, u, h, d, f if f is not None and f != i else None, date) for i, u, h, d, f in zip(*(c.to_pylist() for c in part.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     members = joined.select("page_id", "url", "html", "digest", "first_id").mapInArrow(pack, "member binary")
@@ -68,20 +73,23 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 def parse(raw: bytes) -> dict | None:
-    """The record of an inflated member, or None if it is no WARC record."""
-    if not raw.startswith(b"WARC/1."):
-        return None
+    """Fields (lower case) and block of an inflated member, or None if it is no whole WARC record."""
     top, found, rest = raw.partition(b"\r\n\r\n")
-    if not found:
+    if not raw.startswith(b"WARC/") or not found:
         return None
-    fields = {}
-    for line in top.split(b"\r\n")[1:]:
-        k, _, v = line.partition(b":")
-        fields[k.strip().lower().decode()] = v.strip().decode()
-    size = int(fields.get("content-length", "-1"))
-    if size < 0 or len(rest) < size:
+    fields: dict = {}
+    last = ""
+    for line in top.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        else:
+            k, _, v = line.partition(":")
+            last = k.strip().lower()
+            fields.setdefault(last, v.strip())
+    size = fields.get("content-length", "")
+    if not re.fullmatch(r"[0-9]{1,18}", size) or len(rest) < int(size):
         return None
-    fields["block"] = rest[:size]
+    fields["block"] = rest[: int(size)]
     return fields
 
 
@@ -97,7 +105,7 @@ def join_pieces(pieces: list[bytes], final: bool = False) -> tuple[list[bytes],
         try:
             while j < len(pieces) and not whole:
                 out += z.decompress(MAGIC + pieces[j])
-                if not out.startswith(b"WARC/1."[: len(out)]):
+                if not out.startswith(b"WARC/"[: len(out)]):
                     break
                 j, whole = j + 1, z.eof
             if not whole and j == len(pieces) and not final:
@@ -114,41 +122,57 @@ def join_pieces(pieces: list[bytes], final: bool = False) -> tuple[list[bytes],
     return done, early, []
 
 
-def _rows(contents: list[bytes]) -> pa.RecordBatch:
-    keep = [x for x in map(parse, contents) if x is not None]
-    page = lambda x: None if x is None or x == "<urn:page:null>" else int(x.rpartition(":")[2].rstrip(">"))
-    out = []
-    for x in keep:
-        payload = x["block"].partition(b"\r\n\r\n")[2]
-        revisit = x["warc-type"] == "revisit"
-        digest = x["warc-payload-digest"].rpartition(":")[2] if revisit else hashlib.sha256(payload).hexdigest()
-        size = int(x["x-payload-length"]) if revisit else len(payload)
-        out.append((page(x["warc-record-id"]), x["warc-target-uri"], size, digest, x["warc-type"], page(x.get("warc-refers-to")), None if revisit else payload))
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(len(names))], names=names)
+SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string, payload binary"
+KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
 
+def page(uri: str | None) -> int | None:
+    """The page that a record id of our own names."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", uri or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
-SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+def row(x: dict | None) -> tuple:
+    """Values of SCHEMA of a record; None: all null but the type, which is invalid."""
+    if x is None:
+        return (None, None, None, None, "invalid", None, None, None, None)
+    kind = x.get("warc-type")
+    http = x.get("content-type", "application/http" if kind in ("response", "request", "revisit") else "").lower().startswith("application/http")
+    top, found, rest = x["block"].partition(b"\r\n\r\n")
+    payload = rest if http and found else b"" if http else x["block"]
+    size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    if kind == "revisit":
+        length = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", top + b"\r")
+        size, digest, payload = int(length[1]) if length else None, x.get("warc-payload-digest", "").rpartition(":")[2] or None, None
+    return (page(x.get("warc-record-id")), x.get("warc-target-uri"), size, digest, kind, page(x.get("warc-refers-to")), x.get("warc-record-id"), x.get("warc-date"), payload)
+
+
+def _rows(contents: list[bytes]) -> pa.RecordBatch:
+    out = [row(parse(x)) for x in contents]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(KINDS)], names=NAMES)
 
 
-def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False) -> DataFrame:
-    """A row per record of the archives under path: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False, with_invalid: bool = False) -> DataFrame:
+    """A row per record of the archives under path: page_id and refers_to (null unless the ids are pages of our own), url,
+    payload_bytes, payload_digest, record_type, record_id, date.
 
-    Sizes and digests of responses come from the payload that was read; revisits carry theirs. Members that are no WARC
-    records are left out.
+    Payloads of HTTP records are what follows their HTTP head, those of others the block. Sizes and SHA-256 digests come from
+    the payload that was read; a revisit has the length that its HTTP head states and the digest of its WARC header, or null.
+    Members that begin like a record and aren't whole ones are left out, or rows of record_type `invalid` that can be
+    counted; other members are left out. An archive without records, or an empty folder's, gives no rows.
     """
     pieces = spark.read.option("lineSep", "\u001f\u008b").option("encoding", "ISO-8859-1").text(path)
     pieces = pieces.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file", "block", "early", "held", "whole"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.bool_()]
+        names = [*NAMES, "file", "block", "early", "held", "whole"]
+        kinds = [*KINDS, pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.bool_()]
         at_range, held, early, seen = None, [], [], False
 
         def close() -> Iterator[pa.RecordBatch]:
             if at_range is not None:
-                values = [None] * 7 + [at_range[0], at_range[1], early, held, seen]
+                values = [None] * len(NAMES) + [at_range[0], at_range[1], early, held, seen]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -165,8 +189,8 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
                 early = early if seen else early + before
                 seen = seen or bool(got)
                 out = _rows(got)
-                columns = list(out.columns) if with_payload else [*out.columns[:6], pa.nulls(out.num_rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(out.num_rows, t) for t in kinds[7:])], names=names)
+                columns = list(out.columns) if with_payload else [*out.columns[:-1], pa.nulls(out.num_rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(out.num_rows, t) for t in kinds[len(NAMES) :])], names=names)
                 at = to
         yield from close()
 
@@ -188,6 +212,7 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
     cut = scanned.where("file is not null").select("file", "block", "early", "held", "whole")
     joined = cut.groupBy("file").applyInArrow(stitch, SCHEMA)
     whole = scanned.where("file is null").drop("file", "block", "early", "held", "whole").unionByName(joined)
+    whole = whole if with_invalid else whole.where("record_type is null or record_type != 'invalid'")
     return whole if with_payload else whole.drop("payload")
 
 

@@ -443,6 +443,49 @@ def test_warc(spark):
     assert warc.archive_and_read(df.limit(0)).count() == 0
 
 
+def test_warc_of_others(spark, tmp_path):
+    """An archive as crawlers write them: warcinfo, uuid ids, several types and versions, odd headers, what is no record."""
+    import gzip
+
+    def rec(head, block, version="WARC/1.0"):
+        return gzip.compress((version + "\r\n" + "\r\n".join(head) + f"\r\nContent-Length: {len(block)}\r\n\r\n").encode("latin-1") + block + b"\r\n\r\n")
+
+    uuid = "<urn:uuid:f9c1e5a2-0000-4000-8000-00000000000%d>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-length: 5\r\n\r\n"
+    raw = [
+        rec(["WARC-Type: warcinfo", "WARC-Record-ID: " + uuid % 1, "WARC-Date: 2020-01-02T03:04:05Z", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        rec(["WARC-Type: request", "WARC-Record-ID: " + uuid % 2, "WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+        rec(["warc-type:response", "WARC-Record-ID: " + uuid % 3, "WARC-Target-URI: http://a/\xe9\r\n b", "Content-Type: application/http;msgtype=response"], http + b"hello", "WARC/1.1"),
+        rec(["WARC-Type: revisit", "WARC-Record-ID: " + uuid % 4, "WARC-Refers-To: " + uuid % 3, "WARC-Payload-Digest: sha1:ABC", "Content-Type: application/http; msgtype=response"], http),
+        rec(["WARC-Type: revisit", "WARC-Record-ID: " + uuid % 5], b""),
+        rec(["WARC-Type: metadata"], b"x: y"),
+        gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nabc"),
+        gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nabc"),
+        gzip.compress(b"WARC/1.0\r\nno end"),
+        gzip.compress(b"something else"),
+        gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")[:-9],  # cut off
+    ]
+    (tmp_path / "b.warc.dat").write_bytes(b"".join(raw))
+    got = {r["record_id"]: r.asDict() for r in warc.read_archives(spark, str(tmp_path), with_payload=True, with_invalid=True).collect() if r["record_id"]}
+    rest = [r.asDict() for r in warc.read_archives(spark, str(tmp_path), with_payload=True, with_invalid=True).collect() if not r["record_id"]]
+    assert sorted(r["record_type"] for r in rest) == ["invalid"] * 3 + ["metadata"]
+    assert (got[uuid % 1]["record_type"], got[uuid % 1]["payload_bytes"], got[uuid % 1]["date"]) == ("warcinfo", 13, "2020-01-02T03:04:05Z")
+    assert (got[uuid % 2]["record_type"], got[uuid % 2]["payload_bytes"], got[uuid % 2]["url"]) == ("request", 0, "http://a/")
+    third = got[uuid % 3]
+    assert (third["payload"], third["payload_digest"], third["page_id"]) == (b"hello", sha("hello"), None) and third["url"].endswith(" b")
+    assert (got[uuid % 4]["payload_bytes"], got[uuid % 4]["payload_digest"], got[uuid % 4]["payload"]) == (5, "ABC", None)
+    assert (got[uuid % 5]["payload_bytes"], got[uuid % 5]["payload_digest"]) == (None, None)
+    assert warc.read_archives(spark, str(tmp_path)).count() == 6
+
+
+def test_warc_has_what_the_format_requires():
+    import gzip
+
+    fields = warc.parse(gzip.decompress(warc.record(5, "http://a/", b"p" * 200, "d", 4, "2020-01-02T03:04:05Z")))
+    assert {"warc-record-id", "content-length", "warc-date", "warc-type"} <= fields.keys()
+    assert warc.row(fields)[:6] == (5, "http://a/", 200, "d", "revisit", 4)
+
+
 def test_warc_ranges_and_false_magic(spark, tmp_path):
     """Small byte ranges cut members everywhere, and stored blocks are full of bytes that look like a magic."""
     noise = [(warc.MAGIC + bytes([8, 0, 0, 0]) + b"\x00" * 5) * k for k in range(40)]
