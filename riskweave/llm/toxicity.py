@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Training takes a bounded sample of labelled rows (`max_train`, the smallest hashes of their ids), counts in how many
-toxic and clean texts each n-gram bucket occurs, keeps the `features` buckets with the largest weighted ratios, and fits
-an L2-regularized logistic regression on the presence of those buckets, each scaled by its ratio. Everything that reaches
-the driver is bounded by these two parameters. Scoring covers every whole text.
+Training takes a bounded sample of labelled rows (`max_train`, the smallest hashes of their ids), counts in how many toxic
+and clean texts each n-gram occurs, and fits an L2-regularized logistic regression on the presence of all n-grams, each
+scaled by its log-count ratio and each text to length one. N-grams are those of lower-cased characters, whatever their script, hashed into 2 ** BITS
+buckets; no bucket is left out. What reaches the driver is bounded by `max_train` texts. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -18,160 +18,152 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.scratch import materialize
-from riskweave.llm.textbytes import longs, utf8
+from riskweave.llm.textbytes import longs
 
-#: n-gram lengths in bytes, and bits of the bucket number.
-ORDERS = (3, 4, 5)
+#: Characters of an n-gram, and bits of the bucket number.
+ORDER = 5
 BITS = 18
-#: Bytes hashed at once, and spaces between texts: more than the longest n-gram can bridge.
-BLOCK = 1 << 17
-GAP = max(ORDERS)
-
-_LOWER = np.full(256, 32, np.uint8)
-_LOWER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
-_LOWER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
-_LOWER[128:] = np.arange(128, 256)
-
-
-def ngram_buckets(data: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each byte."""
-    if len(data) < n:
-        return np.zeros(0, np.uint32)
-    code = np.zeros(len(data) - n + 1, np.uint64)
-    for i in range(n):
-        code = code << np.uint64(8) | data[i : len(data) - n + 1 + i]
-    code = (code + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((code ^ code >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.uint32)
-
-
-def present(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the distinct n-gram buckets in each text; keep: mask of the buckets that matter."""
-    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-    n_texts = len(offsets) - 1
-    at = 0
-    while at < n_texts:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-        sizes = np.diff(offsets[at : to + 1])
-        padded = np.full(int(sizes.sum()) + GAP * (to - at + 1), 32, np.uint8)
-        starts = np.cumsum(np.r_[GAP, sizes[:-1] + GAP])
-        place = np.arange(int(sizes.sum())) + np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        padded[place] = _LOWER[data[offsets[at] : offsets[to]]]
-        keys = []
-        for begin in range(0, len(padded), BLOCK):  # one very long text is hashed in parts
-            part = padded[begin : begin + BLOCK + GAP - 1]
-            for n in ORDERS:
-                h = ngram_buckets(part, n)[:BLOCK]
-                pos = np.flatnonzero(keep[h]) if keep is not None else np.arange(len(h))
-                row = np.searchsorted(starts - GAP + 1, pos + begin, "right") - 1
-                keys.append(np.unique(np.maximum(row, 0).astype(np.uint64) << np.uint64(BITS) | h[pos]))
-        key = np.unique(np.concatenate(keys))
-        rows.append((key >> np.uint64(BITS)).astype(np.int64) + at)
-        found.append((key & np.uint64((1 << BITS) - 1)).astype(np.uint32))
-        at = to
-    return np.concatenate(rows), np.concatenate(found)
+#: Texts without a decision that every n-gram has beforehand, in proportion to the classes: rare n-grams keep ratios near zero.
+PRIOR = 40.0
+#: Characters hashed at once: one very long text is hashed in parts.
+BLOCK = 1 << 18
+
+
+def ngram_buckets(text: str) -> np.ndarray:
+    """Bucket of the n-gram that starts at each character of the lower-cased text, with a space before and after it."""
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+    n = max(0, len(code) - ORDER + 1)
+    out = np.empty(n, np.uint32)
+    for at in range(0, n, BLOCK):
+        part = code[at : at + BLOCK + ORDER - 1].astype(np.uint64)
+        m = len(part) - ORDER + 1
+        mixed = np.zeros(m, np.uint64)
+        for i in range(ORDER):
+            mixed = (mixed + part[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        out[at : at + m] = mixed >> np.uint64(64 - BITS)
+    return out
+
+
+class Present:
+    """The distinct buckets of texts, without sorting: the last n-gram of each bucket counts."""
+
+    def __init__(self) -> None:
+        self.last = np.zeros(1 << BITS, np.int64)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = ngram_buckets(text or "")
+        at = np.arange(len(found))
+        self.last[found] = at
+        return found[self.last[found] == at]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """weights: of each n-gram bucket, ratio times fitted weight; bias."""
+    """weights: of each n-gram bucket, ratio times fitted weight; bias; scale: the ratios, which give a text its length."""
 
     weights: np.ndarray
     bias: float
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        rows, buckets = present(data, offsets, self.weights != 0)
-        total = np.bincount(rows, self.weights[buckets], len(offsets) - 1) + self.bias
+    scale: np.ndarray | None = None
+
+    def score(self, texts: list[str | None], present: Present | None = None) -> np.ndarray:
+        present = present or Present()
+        total = np.full(len(texts), self.bias)
+        for i, text in enumerate(texts):
+            found = present(text)
+            size = 1.0 if self.scale is None else float(np.square(self.scale[found]).sum()) ** 0.5
+            total[i] += self.weights[found].sum() / (size or 1.0)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated full-batch gradient descent; (rows, cols) are the ones of a binary matrix."""
-    n, k = len(y), len(scale)
-    value = scale[cols]
-    per_row = np.bincount(rows, value * value, n) + 1
-    step = 4.0 / max(1.0, float(np.mean(per_row)) * 4)
-    w, bias, vw, vb = np.zeros(k), 0.0, np.zeros(k), 0.0
-    for _ in range(steps):
-        aw, ab = w + 0.9 * vw, bias + 0.9 * vb
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, value * aw[cols], n) + ab, -30, 30)))
-        error = (p - y) / n
-        gw = np.bincount(cols, value * error[rows], k) + l2 * aw
-        vw, vb = 0.9 * vw - step * gw, 0.9 * vb - step * float(error.sum())
-        w, bias = w + vw, bias + vb
+def log_count_ratios(seen: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Of each bucket, from the number of clean and toxic texts that hold it."""
+    n = n0 + n1
+    return np.log((seen[1] + PRIOR * n1 / n) / n1) - np.log((seen[0] + PRIOR * n0 / n) / n0)
+
+
+def fit_logistic(columns: list[np.ndarray], scale: np.ndarray, y: np.ndarray, *, l2: float, rate: float = 0.5, epochs: int = 15, size: int = 64) -> tuple[np.ndarray, float]:
+    """Weights and bias, by adaptive steps over small groups of rows in a fixed order; columns: of each row, those that are one."""
+    n, k = len(columns), len(scale)
+    w, bias, seen, seen_bias = np.zeros(k), 0.0, np.full(k, 1e-8), 1e-8
+    order = np.random.default_rng(7).permutation(n)
+    for _ in range(epochs):
+        for at in range(0, n, size):
+            rows = order[at : at + size]
+            cols = np.concatenate([columns[r] for r in rows])
+            row = np.repeat(np.arange(len(rows)), [len(columns[r]) for r in rows])
+            value = scale[cols]
+            length = np.sqrt(np.bincount(row, value * value, len(rows)))
+            value /= np.where(length > 0, length, 1.0)[row]
+            error = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[cols], len(rows)) + bias, -30, 30))) - y[rows]
+            g = np.bincount(cols, value * error[row], k) / len(rows) + l2 * w
+            seen += g * g
+            w -= rate * g / np.sqrt(seen)
+            g_bias = float(error.mean())
+            seen_bias += g_bias * g_bias
+            bias -= rate * g_bias / seen_bias**0.5
     return w, bias
 
 
-def train(texts: DataFrame, labels: DataFrame, *, max_train: int = 10_000, features: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def train(texts: DataFrame, labels: DataFrame, *, max_train: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on the labelled rows of `labels` (id, 0 or 1) whose text is in `texts`, at most max_train of them.
 
-    Null ids and labels other than 0 and 1 are left out. Without rows of both classes every score is the share of ones.
+    Null ids, labels other than 0 and 1 and ids whose labels contradict each other are left out; of rows that repeat an id
+    the first text in order counts, once. Other columns don't matter, whatever their names. Without rows of both classes
+    every score is the share of ones.
     """
     sample = (
-        labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-        .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
+        labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
+        .groupBy("id").agg(F.max("y").alias("y"), F.min("y").alias("least")).where("y = least").select("id", "y").orderBy(F.xxhash64("id"), "id").limit(max_train)
     )
     picked = F.broadcast(sample)  # at most max_train rows of two numbers
-    rows = materialize(texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, "id"), "toxicity_train")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                row, bucket = present(*utf8(part.column(0)))
-                y = longs(part.column(1))
-                for c in (0, 1):
-                    seen[c] += np.bincount(bucket[y[row] == c], minlength=1 << BITS)
-        some = np.flatnonzero(seen.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0][some]), pa.array(seen[1][some])], names=["bucket", "clean", "toxic"])
-
+    rows = texts.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(picked, "id")
+    rows = materialize(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "toxicity_train")
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
         return ToxicityModel(np.zeros(1 << BITS), -30.0 if not n1 else 30.0)
-    counts = rows.select("text", "y").mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = F.log((F.col("toxic") + 1) / F.lit(float(n1 + 2))) - F.log((F.col("clean") + 1) / F.lit(float(n0 + 2)))
-    kept = counts.where("clean + toxic >= 3").withColumn("ratio", ratio).orderBy(F.desc(F.abs("ratio") * F.sqrt(F.col("toxic") / n1 + F.col("clean") / n0)), "bucket").limit(features)
-    chosen = kept.select("bucket", "ratio").collect()  # at most `features` rows
-    buckets = np.array([r["bucket"] for r in chosen], np.int64)
-    scale = np.array([r["ratio"] for r in chosen])
-    index = np.full(1 << BITS, -1, np.int64)
-    index[buckets] = np.arange(len(buckets))
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = Present()
         for batch in batches:
-            row, bucket = present(*utf8(batch.column(0)), index >= 0)
-            each = np.split(index[bucket].astype(np.int32), np.searchsorted(row, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in each], pa.binary())], names=["y", "cols"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cols = [present(x).astype(np.int32).tobytes() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cols, pa.binary())], names=["id", "y", "cols"])
 
-    ones = rows.select("text", "y").mapInArrow(design, "y int, cols binary").collect()  # at most max_train rows
-    cols = [np.frombuffer(r["cols"], np.int32) for r in ones]
-    w, bias = fit_logistic(np.repeat(np.arange(len(ones)), [len(x) for x in cols]), np.concatenate(cols).astype(np.int64), scale, np.array([r["y"] for r in ones], float))
-    weights = np.zeros(1 << BITS)
-    weights[buckets] = scale * w
-    return ToxicityModel(weights, float(bias))
+    ones = rows.select("id", "text", "y").mapInArrow(design, "id long, y int, cols binary").toArrow().sort_by("id")  # at most max_train rows
+    cols = [np.frombuffer(x.as_buffer(), np.int32) for x in ones.column("cols")]
+    y = longs(ones.column("y"))
+    seen = np.zeros((2, 1 << BITS), np.int64)
+    for x, c in zip(cols, y, strict=True):
+        seen[c][x] += 1
+    scale = log_count_ratios(seen, n0, n1)
+    w, bias = fit_logistic(cols, scale, y.astype(float), l2=0.3 / len(y))
+    return ToxicityModel(scale * w, float(bias), scale)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` with score (0 to 1, higher: likelier toxic) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts get the score of a text without features. All rows are kept, and all columns or those of `keep`, as they are;
-    columns named score or predicted are replaced.
+    Null and empty texts get the score of a text without words. All rows are kept, repeated ones too, and all columns or
+    those of `keep`, as they are; columns named score or predicted are replaced. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
     kept = [c for c in keep or docs.columns if c not in ("score", "predicted")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     at_text = kept.index(text_col) if text_col in kept and dict(docs.dtypes)[text_col] == "string" else None
-    source = docs.select(row) if at_text is not None else docs.select(row, F.col(text_col).cast("string").alias("text"))
+    source = docs.select(row) if at_text is not None else docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = Present()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 columns = part.column(0).flatten()
-                s = shared.value.score(*utf8(part.column(1) if at_text is None else columns[at_text]))
+                s = shared.value.score((part.column(1) if at_text is None else columns[at_text]).to_pylist(), present)
                 columns += [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    schema = T.StructType([docs.schema[c] for c in kept]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return source.mapInArrow(run, schema)

@@ -130,14 +130,32 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
-def test_toxicity_buckets_do_not_depend_on_neighbours():
-    texts = ["Idiot", "", "xy", "é idiot!", "x" * 50, "idiot " * 9]
-    joined = [t.encode() for t in texts]
-    offsets = np.cumsum([0, *map(len, joined)])
-    rows, buckets = toxicity.present(np.frombuffer(b"".join(joined), np.uint8), offsets)
-    for i, t in enumerate(joined):
-        one = toxicity.present(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1]
-        assert set(buckets[rows == i]) == set(one)
+def test_toxicity_ngrams_are_of_characters():
+    """Every character n-gram counts once, in any script and case, and texts don't depend on their neighbours."""
+    present = toxicity.Present()
+    texts = ["Idiot", "", "xy", "é idiot!", "x" * 50, "idiot " * 9, "Жопа", "日本語日本語", "a" * (toxicity.BLOCK + 9), None]
+    for t in texts:
+        padded = f" {(t or '').lower()} "
+        grams = {padded[i : i + toxicity.ORDER] for i in range(len(padded) - toxicity.ORDER + 1)}
+        one = set(present(t).tolist())
+        assert len(present(t)) == len(one) <= len(grams) and len(one) >= len(grams) - 1
+        assert set(toxicity.Present()(t).tolist()) == one
+    assert set(present("ЖОПА!")) == set(present("жопа!")) != set(present("жопа?"))
+
+
+def test_toxicity_learns_from_all_scripts_and_drops_contradictions(spark):
+    """No n-gram is left out however rare or many there are; contradicting labels and repeated rows don't count twice."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(30)) + (" дурак" if i % 4 == 0 else "")) for i in range(400)]
+    labels = [(i, int(i % 4 == 0), "clash") for i in range(200)] + [(1, 1, "x"), (2, 1, "x"), (None, 1, "x"), (3, 7, "x")]
+    docs_ = spark.createDataFrame([(*x, 0.5, "t") for x in rows] * 2, "doc_id long, text string, score double, toxic string")
+    model = toxicity.train(docs_, spark.createDataFrame(labels, "doc_id long, toxic int, text string"))
+    found = by_id(toxicity.score(docs_, model))
+    assert all(found[i]["predicted"] == (i % 4 == 0) for i in range(400)) and docs_.columns == [c for c in found[0] if c != "predicted" and c != "score"][:2] + ["score", "toxic"]
+    assert (model.weights != 0).sum() > 5000
+    none = toxicity.train(docs_.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int, text string"))
+    assert none.score(["a", None]).max() < 1e-6
 
 
 def test_chat_round_trip(spark):
