@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.rolling import PrefixHash
-from riskweave.llm.scratch import materialize, parallelism
+from riskweave.llm.scratch import discard, materialize, parallelism
 from riskweave.llm.textbytes import longs, mix64, utf8
 
 #: Bytes of texts in a block, and slices of a partition that are counted one after the other.
@@ -171,15 +171,17 @@ def components(links: DataFrame) -> DataFrame:
     jump to their label's label, until none changes: labels only ever fall, so this ends. Each round is written to the
     shared scratch folder."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
+    written = labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(F.min("l").alias("near"))
         step = labels.join(near, "v").select("v", "l", F.least("l", "near").alias("m"))
         up = labels.select(F.col("v").alias("m"), F.col("l").alias("top"))
         step = step.join(up, "m", "left").select("v", "l", F.least("m", F.coalesce("top", "m")).alias("new"))
         done = materialize(step, "labels")
-        labels = done.select("v", F.col("new").alias("l"))
+        discard(written)
+        written, labels = done, done.select("v", F.col("new").alias("l"))
         if not done.where("l != new").limit(1).count():
+            discard(both)
             return labels.select("v", F.col("l").alias("component"))
 
 
@@ -228,6 +230,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col:
         by(named(lambda x: x["df"], salted(1))).alias("p1"), by(named(salted(2))).alias("p2"), by(named(salted(3))).alias("p3"), *bits,
     )
     index = materialize(index, "jaccard_index")
+    discard(sets, often, chosen)
     posting = materialize(index.select("id", "n", "unique", F.size("tokens").alias("held"), F.struct("b0", "b1", "b2", "b3").alias("bits"), F.explode("p1").alias("token")), "jaccard_postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -262,8 +265,10 @@ def jaccard_links(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col:
     cross = cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialize(verified(materialize(cross, "jaccard_cross")), "jaccard_more")
     label = materialize(components(links.unionByName(more)), "jaccard_components")
+    discard(index, posting, centres, pairs, links, labelled, split, rest, more)
     named_class = classes.join(label, F.col("rep") == F.col("v"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("component"))
     named_class = materialize(named_class, "jaccard_named")
+    discard(classes, label)
     out = counts.join(named_class, real & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
     name = F.when(F.col("id") != no_id, F.col("id"))
     return out.select(name.alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id") != no_id, F.coalesce("component", "id")).alias("component_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskweave.llm.quality import words
-from riskweave.llm.scratch import materialize
+from riskweave.llm.scratch import discard, materialize
 
 REPEATS = 3
 #: Rounds of a permutation: each moves about half of all numbers.
@@ -109,8 +109,8 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     bucket = F.pmod(F.xxhash64("id", nameless, F.lit(seed)), buckets)
     wide = F.floor(bucket / F.ceil(F.sqrt(buckets)))
     docs_in = sized.join(targets.select("s", F.col("source").alias("src"), "source_size", "n_docs", "target"), F.col("source").eqNullSafe(F.col("src"))).select("id", "s", "source", "content", "size", "source_size", "target", bucket.alias("bucket"), wide.alias("wide"))
-    sums = materialize(docs_in.groupBy("s", "wide", "bucket").agg(F.sum("size").alias("n")), "mix_sums")
-    sums = materialize(sums_before(sums, "wide", "bucket", "n", "offset").select(F.col("s").alias("s_"), F.col("bucket").alias("bucket_"), "offset"), "mix_offsets")
+    bucket_sums = materialize(docs_in.groupBy("s", "wide", "bucket").agg(F.sum("size").alias("n")), "mix_sums")
+    sums = materialize(sums_before(bucket_sums, "wide", "bucket", "n", "offset").select(F.col("s").alias("s_"), F.col("bucket").alias("bucket_"), "offset"), "mix_offsets")
     inside = W.partitionBy("s", "bucket").orderBy(F.xxhash64("id", nameless, F.lit(seed + 1)), "id", "size", "content")
     placed = docs_in.withColumn("in_bucket", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(sums, (F.col("s") == F.col("s_")) & (F.col("bucket") == F.col("bucket_")))
@@ -128,6 +128,7 @@ def mix_plan(docs: DataFrame, *, block: int = 64, shard: int = 256, seed: int =
     hi = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
     pieces = joined.select("rid", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"), "times")
     pieces = materialize(pieces, "mix_pieces")
+    discard(sized, bucket_sums, sums, drawn)
     taken = pieces.groupBy(F.col("rid").alias("rid_")).agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     documents = placed.join(taken, F.col("rid") == F.col("rid_"), "left").select("rid", F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("source").alias("mix_source"), "content")
     return documents, pieces

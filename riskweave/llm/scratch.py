@@ -4,25 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
+_SCOPES: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that setting is unset (local tests)."""
+    """The session's spark.checkpoint.dir. Where that is unset: a temporary folder if all runs in this process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="riskweave-"))
     return _FALLBACK[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/riskweave/{uuid.uuid4().hex}/{name}"
+    path = f"{scratch_root(spark)}/riskweave/{uuid.uuid4().hex}/{name}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -30,7 +38,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path_ = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch_path_)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end what was written to the scratch folder in it, but what was taken off its list."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
 
 
 #: Rows of a batch that goes to a Python worker: whole texts, so that far fewer than Spark's 10,000 are enough.

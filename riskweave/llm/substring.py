@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.scratch import materialize, parallelism
+from riskweave.llm.scratch import discard, materialize, parallelism
 from riskweave.llm.textbytes import longs, mix64, utf8
 
 WINDOW = 16
@@ -230,9 +230,10 @@ def _surroundings(reach: int):
 def segment_ends(texts: DataFrame, spans: DataFrame, *, reach: int) -> DataFrame:
     """id, ends (array of a, b, after, near): for each end of a segment, the bytes beyond its owner's place.
 
-    texts has key and text. An end is asked for once a place, however many documents repeat it.
+    texts has key and text; spans is a scratch table, which is removed. An end is asked for once a place, however many documents repeat it.
     """
     ends = materialize(spans.mapInArrow(_ends, "id long, a int, b int, after boolean, owner long, place int"), "substring_ends")
+    discard(spans)
     asked = ends.groupBy("owner").agg(F.collect_set(F.struct("place", "after")).alias("asked"))
     near = texts.join(asked.hint("merge"), F.col("key") == F.col("owner")).select("key", "text", "asked").mapInArrow(_surroundings(reach), "owner_ long, place_ int, after_ boolean, near binary")
     # Rows that repeat an id repeat its text; one of them serves.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.rolling import PrefixHash
-from riskweave.llm.scratch import materialize, parallelism
+from riskweave.llm.scratch import discard, materialize, parallelism
 from riskweave.llm.substring import cut_runs, runs_of
 from riskweave.llm.textbytes import longs, utf8
 
@@ -275,6 +275,7 @@ def repeated_spans(docs: DataFrame, *, length: int, id_col: str, text_col: str)
     found = materialize(source.mapInArrow(_find(length), "anchor long, win long, id long, pos int, head int, size int"), "suffix_anchors")
     shared = materialize(found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n")).where("n > 1").select("anchor_"), "suffix_shared")
     live = materialize(found.join(shared, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "suffix_live")
+    discard(found, shared)
     place = F.struct("id", (F.col("pos") - F.col("head")).cast("long").alias("begin"), "size")
     classes = live.groupBy("anchor", "win").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
     # Rows that repeat an id are places of their own: `again` tells two that have all else in common.

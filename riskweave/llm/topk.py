@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from riskweave.llm.scratch import materialize, parallelism
+from riskweave.llm.scratch import discard, materialize, parallelism
 
 CHUNK = 2048
 BLOCK = 256
@@ -92,7 +92,9 @@ def pack(vectors: DataFrame, size: int, partitions: int) -> DataFrame:
     chunks = materialize(ordered.mapInArrow(run, "dim int, top double, ids binary, whole binary").withColumn("key", F.monotonically_increasing_id()), "topk_chunks")
     # One row a chunk, without its vectors.
     numbers = chunks.select(F.col("key").alias("key_"), (F.row_number().over(W.orderBy("dim", F.desc("top"), "key")) - 1).alias("c"))
-    return materialize(chunks.join(numbers.hint("merge"), F.col("key") == F.col("key_")).drop("key", "key_"), "topk_numbered")
+    numbered = materialize(chunks.join(numbers.hint("merge"), F.col("key") == F.col("key_")).drop("key", "key_"), "topk_numbered")
+    discard(chunks)
+    return numbered
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, v_ids: np.ndarray, v: np.ndarray, rotation: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
@@ -195,6 +197,7 @@ def top_k(df: DataFrame, *, k: int = 5, every: int = 50, scale: float = 256.0, i
     asked = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("whole").alias("q_whole")).join(marks, F.col("q_dim") == F.col("dim"))
     asked = asked.select("head", "last", "marks", "q_ids", "q_whole").withColumn("floors", F.lit(None).cast("binary"))
     seeded = materialize(asked.join(chunks.hint("merge"), F.col("head") == F.col("c")).drop("c", "top").mapInArrow(meet, schema), "topk_seeds")
+    discard(vectors, queries)
     others = seeded.where("q_ids is not null").drop("dim", "query_id", "vec_id", "score").withColumn("want", F.explode(F.when(F.col("last") > F.col("head"), F.sequence(F.col("head") + 1, "last")).otherwise(F.array().cast("array<int>"))))
     met = others.repartition(parts, "want").join(chunks.hint("merge"), F.col("want") == F.col("c")).drop("c", "top", "want").mapInArrow(meet, schema)
     found = seeded.where("query_id is not null").unionByName(met).select("query_id", "vec_id", "score")

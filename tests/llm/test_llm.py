@@ -712,6 +712,20 @@ def test_segments_have_one_owner_and_one_diagonal():
     assert substring.segments(start, size, owner, place) == [(10, 35, 1, 100), (60, 70, 1, 7), (70, 80, 2, 17)]
 
 
+def test_scratch_tables_go(spark):
+    from riskweave.llm import scratch
+
+    with scratch.scope(spark):
+        kept = scratch.materialize(spark.range(5), "kept")
+        gone = scratch.materialize(spark.range(5), "gone")
+        scratch.discard(gone)
+        assert kept.count() == 5
+        with pytest.raises(Exception, match="(?i)path|file"):
+            spark.read.parquet(gone.scratch_path_).count()
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(kept.scratch_path_).count()
+
+
 def test_gear_hash_is_the_rolling_sum():
     data = np.frombuffer(random.Random(1).randbytes(200), np.uint8)
     got = substring.gear_hash(data)
@@ -720,22 +734,104 @@ def test_gear_hash_is_the_rolling_sum():
         assert int(got[i]) == want
 
 
-def test_pipeline_stages_keep_rows_and_columns(spark, docs):
-    """near_duplicates against brute force, and substring_dedup and mixing against their operators, with rows without id."""
+@pytest.fixture(scope="module")
+def odd_docs(spark, docs):
+    """Rows without id, repeated rows, and columns named like results or with a dot."""
+    more = spark.createDataFrame([(None, "no id " * 9, "en", "s1", 54, "extra"), (None, None, "en", None, None, "extra"), (9, ROWS[9][1], "en", "s4", 5, "extra")], docs.schema)
+    out = docs.unionByName(more).withColumnRenamed("__id", "a.b")
+    for name in ("score", "n_removed", "id", "component_id", "row", "text_"):
+        out = out.selectExpr("*", f"concat('{name}', coalesce(doc_id, -1)) as `{name}`")
+    return out.repartition(3)
+
+
+def extras_stay(out, docs):
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert r["a.b"] == "extra" and all(r[c] == f"{c}{-1 if r['doc_id'] is None else r['doc_id']}" for c in ("score", "n_removed", "id", "component_id", "row", "text_"))
+
+
+def test_pipeline_toxicity_stage(spark, odd_docs, tmp_path):
+    """The stage keeps exactly the rows below the threshold of the model that its labels give."""
     import corpus_pipeline
 
-    more = spark.createDataFrame([(None, "no id " * 9, "en", "s1", 54, "extra"), (None, None, "en", None, None, "extra")], docs.schema)
-    docs = docs.unionByName(more)
-    stages = dict(corpus_pipeline.STAGES)
-    kept = stages["near_duplicates"](spark, docs, SF)
+    labels = spark.createDataFrame([(i, int(i % 6 == 4)) for i, _ in ROWS] + [(None, 1)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, odd_docs, str(tmp_path))
+    extras_stay(kept, odd_docs)
+    model = toxicity.train(odd_docs, labels.where(~queries.held_out()))
+    stay = lambda t: model.score([t])[0] < 0.3
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((x for x in rows if stay(x[1])), key=str)
+    assert 5 < kept.count() < len(rows)
+    assert dict(corpus_pipeline.STAGES)["toxicity"](spark, odd_docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_near_duplicates_stage(spark, odd_docs):
+    import corpus_pipeline
+
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, odd_docs, SF)
+    extras_stay(kept, odd_docs)
     component = {i: c for i, (_, c) in brute_components(ROWS, 5, 80).items()}
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, None, *(i for i in component if component[i] == i)], key=str)
-    cut = stages["substring_dedup"](spark, docs, SF)
-    want = [r for r in substring.dedup(docs, keep_text=True).collect() if not r["n_removed"] or WORD.search(r["text"].encode())]
-    was = {r["doc_id"]: r["n_chars"] for r in docs.collect() if r["doc_id"] is not None}
+    want = [i for i in [*component, 9] if component[i] == i]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, None, *want], key=str)
+
+
+def test_pipeline_substring_stage(spark, odd_docs):
+    """Texts are those of the operator, which has a brute-force test; what is left blank goes; n_chars is the new length."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["substring_dedup"]
+    cut = stage(spark, odd_docs, SF)
+    extras_stay(cut, odd_docs)
+    want = [r for r in substring.dedup(odd_docs.select("doc_id", "text", "n_chars"), keep_text=True).collect() if not r["n_removed"] or WORD.search(r["text"].encode())]
     assert any(r["n_removed"] for r in want)
     got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect()), key=str)
-    assert got == sorted(((r["doc_id"], r["text"], len(r["text"]) if r["n_removed"] else was.get(r["doc_id"], r["n_chars"])) for r in want), key=str)
-    mixed = stages["mixing"](spark, docs, SF)
-    assert all(r["n_chars"] == len(r["text"]) for r in mixed.collect())
-    assert kept.columns == cut.columns == mixed.columns == docs.columns
+    assert got == sorted(((r["doc_id"], r["text"], len(r["text"]) if r["n_removed"] else r["n_chars"]) for r in want), key=str)
+    assert stage(spark, odd_docs.drop("n_chars"), SF).count() == len(want)
+
+
+def test_pipeline_mixing_stage(spark, odd_docs):
+    """Words by row are those that the plan takes, and sources come near their targets."""
+    import corpus_pipeline
+
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, odd_docs, SF)
+    extras_stay(mixed, odd_docs)
+    taken = {}
+    for r in mixed.collect():
+        assert r["n_chars"] == len(r["text"])
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(WORD.findall(r["text"].encode()))
+    want = {}
+    for r in mixing.mix(odd_docs).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+    assert {i: n for i, n in taken.items() if n} == {i: n for i, n in want.items() if n}
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path, monkeypatch):
+    """run() is its stages in a row, on a small copy of the tables; the last stage's ids are those of the mixture's texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        part = spark.read.parquet(f"{SF}/{name}.parquet")
+        part.limit(0 if name == "none" else 10**6).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs, mixture = spark.read.parquet(str(tmp_path / "documents.parquet")), None
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage_{name}"))
+        docs = mixture = spark.read.parquet(str(tmp_path / f"stage_{name}"))
+        sizes.append(docs.count())
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    want = sorted((r["doc_id"], sha(" ".join(map(str, t.encode(r["text"], add_special_tokens=False).ids)))) for r in mixture.collect())
+    got = sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and sizes[0] > sizes[1] > sizes[2] >= sizes[3]
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_pipeline_stages_of_an_empty_table(spark, empty, stage):
+    import corpus_pipeline
+
+    assert corpus_pipeline.STAGES[stage][1](spark, empty, SF).count() == 0
