@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from riskweave.llm.quality import words
-from riskweave.llm.scratch import discard, materialize
+from riskweave.llm.scratch import discard, materialize, parallelism
 
 REPEATS = 3
 #: Rounds of a permutation: each moves about half of all numbers.
 ROUNDS = 24
 #: Documents of a source in a bucket, on average, and slots that are numbered in one row: what one task orders or makes at once.
 BUCKET_DOCS = 250
-WIDE = 1 << 16
+WIDE = 1 << 13
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def slots(shares: DataFrame, *, shard: int, seed: int) -> DataFrame:
     before = F.sum("n").over(W.orderBy("s")) - F.col("n")
     shares = shares.where("n > 0").withColumn("before", before).withColumn("all", F.sum("n").over(W.partitionBy()))
     # Numbers in two steps, so that no row holds an array of all of a source's.
-    wide = shares.withColumn("wide", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / WIDE)))).repartition("s", "wide")
+    wide = shares.withColumn("wide", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / WIDE))))
+    wide = wide.repartition(parallelism(shares.sparkSession), "s", "wide")  # few small rows, of which each makes WIDE slots
     each = wide.withColumn("j", F.explode(F.sequence(F.col("wide") * WIDE, F.least(F.col("wide") * WIDE + (WIDE - 1), F.col("n") - 1))))
     place = permuted(F.col("before") + F.col("j"), F.col("all"), F.lit(seed), F.lit("place"))
     taken = permuted(F.col("j") % F.col("m"), F.col("m"), F.col("s"), F.floor(F.col("j") / F.col("m")), F.lit(seed))
