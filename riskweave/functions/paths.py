@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions and names that classify files.
+# Language of each extension, and names that classify files.
 LANGUAGES = {
-    "JavaScript": "js jsx mjs cjs", "TypeScript": "ts tsx", "Python": "py", "Ruby": "rb", "Go": "go", "Rust": "rs", "Java": "java",
-    "Kotlin": "kt", "Swift": "swift", "C": "c h", "C++": "cpp cc hpp", "C#": "cs", "PHP": "php", "Scala": "scala", "Dart": "dart",
-    "Shell": "sh bash zsh", "PowerShell": "ps1", "HTML": "html", "CSS": "css", "SCSS": "scss", "Less": "less", "Vue": "vue",
-    "Svelte": "svelte", "JSON": "json", "YAML": "yml yaml", "TOML": "toml", "XML": "xml", "Markdown": "md", "SQL": "sql",
-    "Terraform": "tf", "Dockerfile": "dockerfile", "Protobuf": "proto", "Gradle": "gradle", "Lockfile": "lock", "Dotenv": "env",
+    "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript",
+    "ts": "TypeScript", "tsx": "TypeScript",
+    "py": "Python",
+    "rb": "Ruby",
+    "go": "Go",
+    "rs": "Rust",
+    "java": "Java",
+    "kt": "Kotlin",
+    "swift": "Swift",
+    "c": "C", "h": "C",
+    "cpp": "C++", "cc": "C++", "hpp": "C++",
+    "cs": "C#",
+    "php": "PHP",
+    "scala": "Scala",
+    "dart": "Dart",
+    "sh": "Shell", "bash": "Shell", "zsh": "Shell",
+    "ps1": "PowerShell",
+    "html": "HTML",
+    "css": "CSS",
+    "scss": "SCSS",
+    "less": "Less",
+    "vue": "Vue",
+    "svelte": "Svelte",
+    "json": "JSON",
+    "yml": "YAML", "yaml": "YAML",
+    "toml": "TOML",
+    "xml": "XML",
+    "md": "Markdown",
+    "sql": "SQL",
+    "tf": "Terraform",
+    "dockerfile": "Dockerfile",
+    "proto": "Protobuf",
+    "gradle": "Gradle",
+    "lock": "Lockfile",
+    "env": "Dotenv",
 }
 MANIFESTS = [
     "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "requirements.txt", "pipfile", "pipfile.lock", "poetry.lock",
@@ -61,7 +91,7 @@ def language(path: Column) -> Column:
     """By file name or extension; Unknown without either."""
     base = base_name(path)
     ext = F.element_at(F.split(base, r"\."), -1)
-    pairs = [F.lit(x) for lang, exts in LANGUAGES.items() for e in exts.split() for x in (e, lang)]
+    pairs = [F.lit(x) for pair in LANGUAGES.items() for x in pair]
     known = F.try_element_at(F.create_map(*pairs), ext)
     found = F.when(base == "dockerfile", "Dockerfile").when(base == "makefile", "Makefile").when(~base.contains("."), "Unknown").otherwise(F.coalesce(known, F.lit("Unknown")))
     return F.when(path.isNull() | (path == ""), "Unknown").otherwise(found)

@@ -26,8 +26,17 @@ FAMILIES = {
     "generic": (["//", "#"], [("/*", "*/")], ['"', "'", "`"]),
 }
 LANGUAGE_FAMILY = {
-    "c_like": "JavaScript TypeScript Java C C++ C# Go Rust Swift Kotlin Scala Dart Vue Svelte Terraform Gradle Protobuf CSS SCSS Less",
-    "sql": "SQL", "python": "Python", "ruby": "Ruby", "hash": "Shell PowerShell YAML TOML Dockerfile Makefile Dotenv", "html": "HTML XML", "php": "PHP", "prose": "Markdown", "json": "JSON",
+    "c_like": [
+        "JavaScript", "TypeScript", "Java", "C", "C++", "C#", "Go", "Rust", "Swift", "Kotlin", "Scala", "Dart", "Vue", "Svelte", "Terraform", "Gradle", "Protobuf", "CSS", "SCSS", "Less",
+    ],
+    "sql": ["SQL"],
+    "python": ["Python"],
+    "ruby": ["Ruby"],
+    "hash": ["Shell", "PowerShell", "YAML", "TOML", "Dockerfile", "Makefile", "Dotenv"],
+    "html": ["HTML", "XML"],
+    "php": ["PHP"],
+    "prose": ["Markdown"],
+    "json": ["JSON"],
 }
 SEP = "\u0001"
 
@@ -35,7 +44,7 @@ SEP = "\u0001"
 def family(language: Column) -> Column:
     out = None
     for name, langs in LANGUAGE_FAMILY.items():
-        cond = language.isin(langs.split())
+        cond = language.isin(langs)
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return out.otherwise("generic")
 
@@ -54,6 +63,11 @@ def segment_pattern(name: str) -> str:
     return "(" + "|".join([*parts, r"(?s:.)"]) + ")"
 
 
+def closed_string(q: str) -> str:
+    """A whole literal with both its quotes."""
+    return f"{q}[^{q}\\\\\\n]*+(?:\\\\[^\\n][^{q}\\\\\\n]*+)*+{q}"
+
+
 def _starts(seg: Column, heads: list[str]) -> Column:
     out = F.lit(False)
     for h in heads:
@@ -69,7 +83,7 @@ def _streams(name: str, segs: Column) -> Column:
     is_block = lambda s: _starts(s, [a for a, _ in block])
     comment = lambda s: _starts(s, line) | is_block(s)
     string = lambda s: _starts(s, quotes) & ~comment(s)
-    closed_at = "|".join(f"{q}[^{q}\\\\\\n]*+(?:\\\\[^\\n]?[^{q}\\\\\\n]*+)*+{q}" for q in quotes) or "(?!)"
+    closed_at = "|".join(map(closed_string, quotes)) or "(?!)"
     closed = lambda s: s.rlike(f"^(?:{closed_at})\\z")
     body = lambda s: F.when(closed(s), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(F.substring(s, 2, 1 << 30))
 

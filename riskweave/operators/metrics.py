@@ -10,7 +10,9 @@ from riskweave.functions import paths
 from riskweave.functions.dialect import translate
 from riskweave.functions.scalars import half_up, indent_width, trim
 
-DECISION = translate(r"\b(if|elif|for|foreach|while|case|when|catch|switch|and|or)\b|&&|\|\||\?\.")
+# What counts as a decision.
+DECISION_WORDS = r"\b(if|elif|for|foreach|while|case|when|catch|switch|and|or)\b|&&|\|\||\?\."
+DECISION = translate(DECISION_WORDS)
 
 
 def decisions(text: Column) -> Column:

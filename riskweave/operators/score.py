@@ -30,7 +30,8 @@ def score_changes(signals: DataFrame, changes: DataFrame) -> DataFrame:
     """
     sev = F.col("severity")
     pts = signal_points(weight(sev), F.col("confidence"), F.col("count"))
-    aggs = [a for s in SEVERITIES for a in (F.sum(F.when(sev == s, pts)).alias(f"p_{s}"), F.sum((sev == s).cast("long")).alias(f"n_{s}"))]
+    exact = pts.cast("decimal(24,9)")  # sums that no order of rows changes
+    aggs = [a for s in SEVERITIES for a in (F.sum(F.when(sev == s, exact)).cast("double").alias(f"p_{s}"), F.sum((sev == s).cast("long")).alias(f"n_{s}"))]
     by = signals.groupBy("diff_id").agg(*aggs, F.max(rank(sev)).alias("worst_rank"))
     df = changes.join(by, "diff_id", "left").withColumns({f"n_{s}": F.coalesce(F.col(f"n_{s}"), F.lit(0)) for s in SEVERITIES})
     churn_pts = F.least(F.lit(28.0), log2(F.col("churn") + 1) * 3)
@@ -103,23 +104,23 @@ def summary(tier: Column, n_critical: Column, n_high: Column) -> Column:
     return F.when(F.col("files") == 0, "Paste a diff to run the risk radar.").otherwise(body)
 
 
-# Checklist items in order, with the rules (or the category, after @) that call for them.
+# Checklist items in order, with the rules, or the category, that call for them.
 CHECKLIST = [
-    ("must", "Remove the leftover merge-conflict markers — this code cannot run as written.", "conflict-markers"),
-    ("must", "Strip the bidirectional Unicode control characters — verify the code reads the same to a human and the compiler.", "bidi-unicode"),
-    ("must", "Rotate every exposed secret and scrub it from git history — assume it is already leaked.", "private-key provider-token aws-key secret-file generic-secret entropy-secret jwt basic-auth-url"),
-    ("must", "Confirm no untrusted input reaches the flagged execution / query sink; parameterize or sanitize.", "eval-exec shell-injection sql-concat insecure-deserialize nosql-where template-injection"),
-    ("must", "Verify HTML/URL sinks are fed only sanitized, scheme-checked content (XSS).", "raw-html js-scheme"),
-    ("must", "Re-enable certificate verification before this touches any real network.", "tls-off"),
-    ("should", "Validate input-derived paths/URLs against an allow-list (traversal / SSRF).", "path-traversal ssrf"),
-    ("should", "Replace weak crypto/RNG with vetted algorithms (SHA-256+, AES-GCM, CSPRNG).", "weak-crypto insecure-random ecb-mode"),
-    ("should", "Remove .only / .skip so the full test suite actually runs.", "focused-test"),
-    ("should", "Add or restore tests covering the changed behavior.", "@Testing"),
-    ("should", "Review new/updated dependencies and their changelog; check for typosquats.", "dep-change"),
-    ("should", "Confirm the migration is reversible and safe under load.", "migration"),
-    ("should", "Double-check config/CI/CORS changes in a dry run; confirm prod posture.", "infra-change debug-flag cors-wildcard"),
-    ("nice", "Clear leftover debug output, TODO/FIXME markers, and stray invisible characters.", "debug-print todo zero-width"),
-    ("nice", "Consider splitting the largest files into smaller, focused commits.", "large-file-churn"),
+    ("must", "Remove the leftover merge-conflict markers — this code cannot run as written.", ["conflict-markers"]),
+    ("must", "Strip the bidirectional Unicode control characters — verify the code reads the same to a human and the compiler.", ["bidi-unicode"]),
+    ("must", "Rotate every exposed secret and scrub it from git history — assume it is already leaked.", ["private-key", "provider-token", "aws-key", "secret-file", "generic-secret", "entropy-secret", "jwt", "basic-auth-url"]),
+    ("must", "Confirm no untrusted input reaches the flagged execution / query sink; parameterize or sanitize.", ["eval-exec", "shell-injection", "sql-concat", "insecure-deserialize", "nosql-where", "template-injection"]),
+    ("must", "Verify HTML/URL sinks are fed only sanitized, scheme-checked content (XSS).", ["raw-html", "js-scheme"]),
+    ("must", "Re-enable certificate verification before this touches any real network.", ["tls-off"]),
+    ("should", "Validate input-derived paths/URLs against an allow-list (traversal / SSRF).", ["path-traversal", "ssrf"]),
+    ("should", "Replace weak crypto/RNG with vetted algorithms (SHA-256+, AES-GCM, CSPRNG).", ["weak-crypto", "insecure-random", "ecb-mode"]),
+    ("should", "Remove .only / .skip so the full test suite actually runs.", ["focused-test"]),
+    ("should", "Add or restore tests covering the changed behavior.", "Testing"),
+    ("should", "Review new/updated dependencies and their changelog; check for typosquats.", ["dep-change"]),
+    ("should", "Confirm the migration is reversible and safe under load.", ["migration"]),
+    ("should", "Double-check config/CI/CORS changes in a dry run; confirm prod posture.", ["infra-change", "debug-flag", "cors-wildcard"]),
+    ("nice", "Clear leftover debug output, TODO/FIXME markers, and stray invisible characters.", ["debug-print", "todo", "zero-width"]),
+    ("nice", "Consider splitting the largest files into smaller, focused commits.", ["large-file-churn"]),
 ]
 ALWAYS = ["Does the change actually do what the PR title and description claim?", "Are error paths and edge cases handled, not just the happy path?"]
 ONCE_MORE = "Read the diff once more end to end — anything here you would not want to own at 2am?"
@@ -132,7 +133,7 @@ def checklist(signals: DataFrame, metrics: DataFrame) -> DataFrame:
     item = lambda pri, text: F.struct(F.lit(pri).alias("pri"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
     items = []
     for pri, text, needs in CHECKLIST:
-        cond = F.array_contains("cats", needs[1:]) if needs[0] == "@" else F.arrays_overlap("ids", F.array(*map(F.lit, needs.split())))
+        cond = F.array_contains("cats", needs) if isinstance(needs, str) else F.arrays_overlap("ids", F.array(*map(F.lit, needs)))
         items.append(F.when(F.coalesce(cond, F.lit(False)), item(pri, text)))
     deep = F.concat(F.lit("Deeply nested code was added (depth ~"), F.col("max_nesting_added").cast("string"), F.lit(") — consider flattening for readability."))
     items.append(F.when(F.col("max_nesting_added") >= 4, item("nice", deep)))

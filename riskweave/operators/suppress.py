@@ -12,9 +12,13 @@ from riskweave.functions.dialect import translate
 DEFAULT_PREFIX = "risk-"
 
 
+def directive_pattern(prefix: str = DEFAULT_PREFIX, java: bool = True) -> str:
+    return translate(re.escape(prefix).replace("\\-", "-") + r"(?:ignore|disable)(-next-line|-next|-line|-file)?\b[ \t]*:?[ \t]*([a-z0-9,\s_-]*)", ignore_case=True, java=java)
+
+
 def parse_directive(comment: Column, prefix: str = DEFAULT_PREFIX) -> Column:
     """struct<kind, rules> of the first directive, null without one. The prefix must occur in lower case."""
-    pattern = translate(re.escape(prefix).replace("\\-", "-") + r"(?:ignore|disable)(-next-line|-next|-line|-file)?\b[ \t]*:?[ \t]*([a-z0-9,\s_-]*)", ignore_case=True)
+    pattern = directive_pattern(prefix)
     kind = F.lower(F.regexp_extract(comment, pattern, 1))
     named = F.when(kind == "-file", "file").when(kind.startswith("-next"), "next").otherwise("line")
     rules = F.filter(F.split(F.regexp_extract(comment, pattern, 2), translate(r"[,\s]+")), lambda s: (s != "") & (s != prefix.rstrip("-")))

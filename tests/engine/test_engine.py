@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from riskweave import cli
+from riskweave import cli, queries
 from riskweave.functions.catalog import RULES
 from riskweave.operators import entropy, suppress
 from riskweave.plans import config, export
@@ -221,3 +221,39 @@ def test_stream(spark, tmp_path):
     q = score_stream(stream_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [22]
+
+
+@pytest.fixture(scope="module")
+def tables():
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "lineitem"):
+        con.sql(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    return con
+
+
+def plain(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    value = lambda v: round(v, 9) if isinstance(v, float) else v
+    return sorted((tuple(value(r[i]) for i in order) for r in rows), key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_oracles(spark, tables, name):
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = tables.sql(queries.ORACLES[name])
+    assert sorted(found.columns) == sorted(want.columns)
+    assert plain([tuple(r) for r in found.collect()], found.columns) == plain(want.fetchall(), want.columns)
+
+
+def test_every_query_has_an_oracle_or_is_read_back():
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"report_json", "report_sarif"}
+
+
+def test_escapes(spark):
+    from riskweave.functions.scalars import escape_html, mark_invisibles
+
+    row = spark.createDataFrame([("<a href='x'>&\"​‮</a>",)], "s string").select(escape_html(F.col("s")).alias("h"), mark_invisibles(F.col("s")).alias("m")).first()
+    assert row["h"] == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;​‮&lt;/a&gt;"
+    assert row["m"] == "<a href='x'>&\"<U+200B><U+202E></a>"
