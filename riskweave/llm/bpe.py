@@ -33,8 +33,10 @@ CACHE_WORDS = 100_000
 
 def plain_pattern() -> tuple[re.Pattern, re.Pattern]:
     """The usual split pattern for re, which is faster, and the characters whose classes differ there: numbers that aren't
-    decimal digits, controls that only re takes for white space, and all beyond the first plane."""
-    odd = [chr(c) for c in range(0x10000) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    decimal digits, controls that only re takes for white space, what this Python's tables don't know, and all beyond the
+    first plane."""
+    strange = lambda x: x.isalnum() and not x.isalpha() and not x.isdecimal() or unicodedata.category(x) == "Cn"
+    odd = [chr(c) for c in range(0x10000) if strange(chr(c))]
     return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"), re.compile("[\x1c-\x1f" + "".join(odd) + "\U00010000-\U0010ffff]")
 
 
@@ -159,6 +161,8 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE))
         self.plain, self.odd = plain_pattern() if pattern == USUAL else (None, None)
+        self.rare = plain_pattern()[1] if self.odd is None else self.odd
+        self.library, self.spec = None, json.dumps(spec)
         self.shown = {i: str(i) for i in self.label}
         self.bytes = dict(enumerate(byte_symbols()))
         self.cache: dict[str, tuple[str, int, str]] = {}
@@ -190,7 +194,21 @@ class WordBpe:
         self.cache, self.older = {}, {}
         self.automaton.known.clear()
 
+    def _unknown(self, text: str, out: list) -> None:
+        """Words of a text with characters that aren't in this Python's Unicode tables, split by the tokenizer library, whose
+        tables may be older or newer."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        for symbols, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+            ids = self.automaton.encode(symbols, self.end)
+            out.append((" ".join([self.shown[i] for i in ids]), len(ids), " ".join([self.label[i] for i in ids])))
+
     def _piece(self, text: str, out: list) -> None:
+        if not text.isascii() and self.rare.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            self._unknown(text, out)
+            return
         get, entry = self.cache.get, self.entry
         text = self.normalize(text)
         words = self.plain if self.plain and not self.odd.search(text) else self.words
@@ -226,7 +244,7 @@ def load(path: str) -> WordBpe:
         return WordBpe(json.load(f))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, digests: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode every whole text of `docs` and decode the ids again.
 
     vocabulary: content (JSON text) of the tokenizer file; its size is fixed by the vocabulary, not the data.
@@ -257,6 +275,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         bpe.forget()
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -67,7 +67,7 @@ def test_bpe_equals_the_tokenizers_library(spark, docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.no_truncation()
     t.no_padding()
-    extra = ["<|endoftext|>a<|startoftext|> B'LL ½ ٣ ΑΣ", "it's\x1cx\x85y", "uuu uuuuu xxxxxxx", "é ﬁ İ", "!!!...,,,"]
+    extra = ["<|endoftext|>a<|startoftext|> B'LL ½ ٣ ΑΣ", "it's\x1cx\x85y", "uuu uuuuu xxxxxxx", "é ﬁ İ", "!!!...,,,", "a\u1c89b \ua7d2", "x\U00010940y \U0003fc36", "\U000e0fff \u0378"]
     rows = [(i, t_) for i, t_ in ROWS] + [(1000 + i, x) for i, x in enumerate(extra)]
     found = by_id(bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary(), keep_ids=True))
     for i, text in rows:
