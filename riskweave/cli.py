@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
 from riskweave.functions.scalars import SEVERITIES
 from riskweave.plans import config as configs
-from riskweave.plans.export import FORMATS
+from riskweave.plans.export import FORMATS, coloured
 
 VERSION = "1.0.0"
 
@@ -23,10 +24,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-score", type=int)
     p.add_argument("-o", "--output")
     p.add_argument("-q", "--quiet", action="store_true")
+    p.add_argument("--color", action=argparse.BooleanOptionalAction, help="colours in text reports; by default only on a terminal and without NO_COLOR")
     p.add_argument("-v", "--version", action="version", version=VERSION)
     return p
 
 
+def wants_colour(asked: bool | None, out) -> bool:
+    if asked is False or os.environ.get("NO_COLOR"):
+        return False
+    return bool(asked) or bool(getattr(out, "isatty", lambda: False)())
+
+
 def main(argv: list[str] | None = None, stdin=None, stdout=None, stderr=None, spark=None) -> int:
     out, err = stdout or sys.stdout, stderr or sys.stderr
     try:
@@ -63,6 +71,8 @@ def main(argv: list[str] | None = None, stdin=None, stdout=None, stderr=None, sp
         if not args.quiet:
             err.write(f"riskweave: wrote {args.format} report to {args.output}\n")
     elif not args.quiet:
+        if args.format == "text" and wants_colour(args.color, out):
+            rendered = coloured(rendered)
         out.write(rendered if rendered.endswith("\n") else rendered + "\n")
     if gate:
         err.write("\nriskweave: GATE FAILED\n" + "".join(f"  - {r}\n" for r in verdict["reasons"]) if verdict["failed"] else "\nriskweave: gate passed\n")

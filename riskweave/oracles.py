@@ -166,6 +166,7 @@ seen as (select * from capped union all select * from untested),
 hit as (select * exclude (suppressed) from seen where not suppressed)"""
 
 _rules = ", ".join(f"({literal(r['id'])}, {literal(r['title'])}, {literal(r['category'])}, {literal(r['severity'])}, {list(WEIGHTS).index(r['severity'])}, {WEIGHTS[r['severity']]}, {float(r['confidence'])}, {', '.join('null' if r[c] is None else literal(r[c]) for c in ('cwe', 'owasp', 'why', 'fix'))})" for r in RULES)
+CATALOG = ", ".join(f"({literal(r['id'])}, {literal(r['title'])}, {literal(r['category'])}, {literal(r['severity'])}, {SEQUENCE.index(r['id'])})" for r in RULES)
 WORST = list(reversed(WEIGHTS))
 _indent = "length(replace(regexp_extract(raw, '^[\\t ]*'), chr(9), '    '))"
 _decisions = lambda x: f"len(regexp_extract_all({x}, {literal(translate(DECISION_WORDS, java=False))}))"

@@ -131,6 +131,14 @@ class Report:
         return evaluate_gate(self.scores, self.config.gate)
 
 
+def analyze_parsed(files: DataFrame, lines: DataFrame, hunks: DataFrame | None = None, config: Config | None = None, **options) -> Report:
+    """A report of changes that were parsed before, by `operators.parse` or by others into the same columns."""
+    report = Report(files.select("diff_id").distinct(), config or Config(), **options)
+    given = {"files": files, "lines": lines} | ({"hunks": hunks} if hunks is not None else {})
+    report.__dict__.update(given)  # cached properties that are already known
+    return report
+
+
 def analyze(diffs: DataFrame, config: Config | None = None, **options) -> Report:
     """diffs: diff_id, diff_text; one row is one change."""
     return Report(diffs, config or Config(), **options)

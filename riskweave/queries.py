@@ -14,9 +14,10 @@ from riskweave import oracles as sql
 from riskweave import rendered
 from riskweave.functions import paths
 from riskweave.operators import score
-from riskweave.plans import export
-from riskweave.plans.analyze import Report, analyze
+from riskweave.plans import export, page
+from riskweave.plans.analyze import Report, analyze, analyze_parsed
 from riskweave.plans.config import Config, evaluate_gate
+from riskweave.sources.diffs import input_size
 
 #: A configuration that turns rules off and changes severities.
 CHANGED = Config(disabled={"todo": True, "long-line": True, "infra-change": True, "zero-width": False}, severity={"debug-print": "high", "dep-change": "info", "migration": "critical"})
@@ -67,6 +68,11 @@ def _sarif_results(report: Report) -> DataFrame:
     return df.select("diff_id", "version", F.col("x.ruleId").alias("rule_id"), rule_["id"].alias("indexed_id"), rule_["properties"]["security-severity"].alias("weight"), "x.level", "x.rank", at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"))
 
 
+def _parsed_again(spark: SparkSession, sf_dir: str) -> Report:
+    first = analyze(rendered.diffs(spark, sf_dir))
+    return analyze_parsed(first.files, first.lines, first.hunks)
+
+
 _FULL, _CHANGED = _report(), _report(CHANGED)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_scores": _FULL(lambda r: r.scores.select("diff_id", F.round("points", 6).alias("points"), "score", "tier", "color", "suppressed", "summary")),
@@ -96,6 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_json": _FULL(export.json_report),
     "report_sarif": _FULL(export.sarif),
     "report_text": _FULL(export.text_report),
+    "report_html": _FULL(page.html),
+    "waterfall_bars": _FULL(lambda r: page.waterfall_bars(r.waterfall)),
+    "rule_settings": _CHANGED(lambda r: page.rule_settings(r.rules, r.config.disabled)),
+    "input_lines": _FULL(lambda r: input_size(r.diffs).select("diff_id", "n_lines")),
+    "parsed_again": lambda spark, sf_dir: _parsed_again(spark, sf_dir).scores.select("diff_id", F.round("points", 6).alias("points"), "score", "tier", "color", "suppressed", "summary"),
     "json_read_back": _FULL(_json_signals),
     "sarif_read_back": _FULL(_sarif_results),
     "numeric_scores": lambda spark, sf_dir: _scored(spark, sf_dir).select("diff_id", F.round("points", 6).alias("points"), "score", "tier"),
@@ -137,6 +148,12 @@ ORACLES: dict[str, str] = {
     "sarif_results": sql.SCORES + """ select h.diff_id, h.rule_id, cast(o.ord - 1 as integer) as rule_index, case when o.sev_rank >= 3 then 'error' when o.sev_rank >= 1 then 'warning' else 'note' end as level,
         case o.sev_rank when 4 then 100 when 3 then 80 when 2 then 50 when 1 then 20 else 5 end as rank, coalesce(h.path, 'unknown') as uri, cast(case when h.line <> 0 then h.line else 1 end as bigint) as start_line from hit h join ordered o using (diff_id, rule_id)""",
     "report_markdown": sql.markdown(export.TOOL),
+    "waterfall_bars": sql.SCORES + " select diff_id, step_no, label, greatest(2, cast(floor(points / greatest(1, max(points) over (partition by diff_id)) * 100 + 0.5) as bigint)) as width from step where points is not null",
+    "rule_settings": f"""select category, rule_id, title, rule_id not in ({", ".join(f"'{k}'" for k, v in CHANGED.disabled.items() if v)}) as enabled,
+        case rule_id {" ".join(f"when '{k}' then '{v}'" for k, v in CHANGED.severity.items())} else severity end as severity, seq from (values {sql.CATALOG}) as t(rule_id, title, category, severity, seq)""",
+    "input_lines": sql.BASE + """ select diff_id, cast(sum(len(lines) + case k when 0 then 5 when 1 then 5 when 2 then 7 when 3 then 6 when 4 then 3 when 5 then 5 when 6 then 3 when 7 then 5 when 8 then 3 when 9 then 1 when 10 then 6 else 4 end) as bigint) as n_lines
+        from file group by diff_id""",
+    "parsed_again": sql.SCORES + " select diff_id, round(points, 6) as points, score, tier, color, suppressed, summary from score",
     "report_text": sql.text(export.TOOL),
     "json_read_back": sql.CHECKS + """, first as (select diff_id, rule_id, cast(count(*) as integer) as n_places, arg_min(line, (file_idx, added_idx, path, line)) as first_line from hit group by diff_id, rule_id),
         n as (select diff_id, cast(count(*) as integer) as n_checks from checks group by diff_id)

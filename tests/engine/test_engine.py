@@ -248,7 +248,7 @@ def test_queries_equal_their_oracles(spark, tables, name):
 
 
 def test_every_query_has_an_oracle_or_is_read_back():
-    assert set(queries.QUERIES) - set(queries.ORACLES) == {"report_json", "report_sarif"}
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"report_json", "report_sarif", "report_html"}
 
 
 def test_escapes(spark):
@@ -257,3 +257,65 @@ def test_escapes(spark):
     row = spark.createDataFrame([("<a href='x'>&\"​‮</a>",)], "s string").select(escape_html(F.col("s")).alias("h"), mark_invisibles(F.col("s")).alias("m")).first()
     assert row["h"] == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;​‮&lt;/a&gt;"
     assert row["m"] == "<a href='x'>&\"<U+200B><U+202E></a>"
+
+
+def test_html_page(golden):
+    pages = {r["diff_id"]: r["report"] for r in export.FORMATS["html"](golden).collect()}
+    assert pages.keys() == set(GOLDEN) | {"blank"}
+    risky, trojan = pages["risky"], pages["trojan"]
+    assert "<h1>84/100 · Critical</h1>" in risky and "SELECT * FROM items WHERE name = &#39;" in risky and "Final score" in risky and "flagged</summary>" in risky
+    assert "<U+202E>" in trojan and "\u202e" not in trojan and "‮" not in trojan
+    assert "No files to show." in pages["blank"] and "No risk signals fired." in pages["clean"]
+    assert all(p.count("<table>") == p.count("</table>") and p.count("<details") == p.count("</details>") for p in pages.values())
+    from riskweave.plans.page import diff_sections
+
+    shown = {r["diff_id"]: (r["n_shown"], r["n_flagged"]) for r in diff_sections(golden, only_flagged=True).collect()}
+    assert shown["risky"] == (2, 2) and "clean" not in shown
+
+
+def test_large_diffs_fold_clean_files(spark):
+    text = change("a.js", *[f"x{i}" for i in range(2100)]) + change("b.js", "eval(x)")
+    page = export.FORMATS["html"](run(spark, text)).first()["report"]
+    assert page.count("<details>") == 1 and page.count("<details open>") == 1
+
+
+def git(folder, *args):
+    import subprocess
+
+    subprocess.run(["git", "-C", str(folder), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
+
+
+def test_ci_run(spark, tmp_path):
+    from riskweave import ci
+
+    git(tmp_path, "init", "-q", "-b", "main")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    git(tmp_path, "add", "."), git(tmp_path, "commit", "-qm", "one")
+    assert ci.acquire(folder=str(tmp_path)) == ""
+    (tmp_path / "a.py").write_text("x = eval(y)\n")
+    assert "+x = eval(y)" in ci.acquire(folder=str(tmp_path))
+    git(tmp_path, "checkout", "-qb", "work"), git(tmp_path, "commit", "-qam", "two")
+    assert "+x = eval(y)" in ci.acquire(folder=str(tmp_path)) and "+x = eval(y)" in ci.acquire(base="main", folder=str(tmp_path))
+    with pytest.raises(ValueError, match="nowhere"):
+        ci.acquire(base="nowhere", folder=str(tmp_path))
+    out = io.StringIO()
+    args = ["--base-ref", "main", "--folder", str(tmp_path), "--sarif-file", str(tmp_path / "r.sarif"), "--outputs", str(tmp_path / "out")]
+    assert ci.main([*args, "--fail-on", "high"], stdout=out, spark=spark) == 1
+    written = dict(x.split("=", 1) for x in (tmp_path / "out").read_text().splitlines())
+    assert written["gate"] == "failed" and written["tier"] == "High" and written["score"] == "60" and written["sarif"].endswith("r.sarif")
+    assert json.loads((tmp_path / "r.sarif").read_text())["runs"][0]["results"][0]["ruleId"] == "eval-exec"
+    assert "::error title=Gate failed::" in out.getvalue()
+    assert ci.main([*args, "--max-score", "90"], stdout=io.StringIO(), spark=spark) == 0
+    assert (tmp_path / "out").read_text().endswith("gate=passed\n")
+
+
+def test_colours():
+    assert cli.wants_colour(True, io.StringIO()) and not cli.wants_colour(None, io.StringIO()) and not cli.wants_colour(False, io.StringIO())
+    assert export.coloured("  ●     HIGH x") == "  \x1b[33m●     HIGH\x1b[0m x"
+
+
+def test_input_size(spark):
+    from riskweave.sources.diffs import input_size
+
+    rows = {r["diff_id"]: (r["n_lines"], r["n_chars"]) for r in input_size(from_texts(spark, {"a": "x\ny\U0001f600", "b": " \n ", "c": ""})).collect()}
+    assert rows == {"a": (2, 5), "b": (0, 0), "c": (0, 0)}
