@@ -19,6 +19,8 @@ from riskweave.llm.scratch import materialize
 
 #: Tokens that a turn's marks count as.
 TURN_COST = 4
+#: Tokens of a window.
+BUDGET = 512
 
 
 def escape(text: Column) -> Column:
@@ -41,7 +43,7 @@ TAIL = "<|end|>\n"
 TURN = "struct<i:int,role:string,text:string,tokens:int>"
 
 
-def format_windows(conversations: DataFrame, *, budget: int = 512, history: int = 2) -> DataFrame:
+def format_windows(conversations: DataFrame, *, budget: int = BUDGET, history: int = 2) -> DataFrame:
     """One row per window: conv_id, win, n_context (turns repeated in front), tokens (of all its turns), text, loss_spans
     array<struct<start, length>> (code points of text from 0).
 
