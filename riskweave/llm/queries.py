@@ -128,7 +128,8 @@ _RATE = ", ".join(f"m_{k}, w_{k}, coalesce((n_{k} + m_{k} * w_{k}) / (n_docs + w
 _FAILS = " or ".join(f"r_{k} - 2 * coalesce(sqrt(r_{k} * (1 - r_{k}) / (n_docs + w_{k} + 1)), 0.0) > greatest(2.0 * m_{k}, 0.2)" for k in quality.RULES)
 ORACLES["op4_quality"] = rf"""
     with doc as (select row_number() over () as row_, doc_id, source, coalesce(text, '') as text from documents),
-    split as (select *, {_WORDS.format("text")} as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as lines from doc),
+    split as (select *, {_WORDS.format("text")} as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) as lines from doc),
     places as (select row_, unnest(generate_series(1, len(words) - 7)) as i, words from split where len(words) >= 8),
     windows as (select row_, i, array_to_string(words[i:i + 7], ' ') as w from places),
     twice as (select row_, i from (select *, count(*) over (partition by row_, w) as n from windows) where n > 1),
@@ -163,9 +164,14 @@ ORACLES["op9_suffix"] = """
     numbered as (select *, sum(cast(new as integer)) over (partition by row_ order by p) as run from edged),
     runs as (select row_, run, min(p) as a, max(p) + 399 as b from numbered group by row_, run),
     gaps as (select row_, a, b, coalesce(lag(b) over (partition by row_ order by a), 0) as before from runs),
-    kept as (select row_, count(*) as n_spans, sum(b - a + 1) as n_removed, max(b) as last, string_agg(hex(raw)[2 * before + 1:2 * (a - 1)], '' order by a) as head from gaps join doc using (row_) group by row_)
+    kept as (select row_, count(*) as n_spans, sum(b - a + 1) as n_removed, max(b) as last, string_agg(hex(raw)[2 * before + 1:2 * (a - 1)], '' order by a) as head from gaps join doc using (row_) group by row_),
+    short as (select row_, p, md5(hex(raw[p:p + 249])) as h from (select row_, unnest(generate_series(1, n - 249)) as p from doc where n >= 250) join doc using (row_)),
+    passages as (select row_, p from short where h in (select h from short group by h having min(row_) <> max(row_))),
+    steps as (select row_, least(250, p - coalesce(lag(p) over (partition by row_ order by p), p - 250)) as fresh from passages),
+    shared as (select row_, sum(fresh) as n_shared from steps group by row_)
     select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
-        case when n_spans is null then sha256(raw) else sha256(unhex(head || hex(raw)[2 * last + 1:])) end as kept_sha256 from doc left join kept using (row_)"""
+        case when n_spans is null then sha256(raw) else sha256(unhex(head || hex(raw)[2 * last + 1:])) end as kept_sha256, cast(coalesce(n_shared, 0) as bigint) as n_shared
+    from doc left join kept using (row_) left join shared using (row_)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,9 @@
-"""Suffix-array dedup: bytes covered by a string of `length` bytes that also starts elsewhere.
+"""Suffix-array dedup: bytes covered by a string of `length` bytes that also starts elsewhere, and, as a report that removes
+nothing, those covered by a shorter string of `passage` bytes that also starts in another document.
 
-Anchors: of the 64-byte grams in each stretch of `length` bytes, the one with the least hash. Equal strings of `length`
-bytes have an anchor in common, at the same place in them, so only grams that are anchors twice or more matter, each with
-the window of text from the first to the last string that it is the anchor of. Equal windows around an anchor are one class, of which two
+Anchors: of the 64-byte grams in each stretch of `passage` bytes, the one with the least hash. Equal strings of that size
+have an anchor in common, at the same place in them, so only grams that are anchors twice or more matter, each with the
+window of text from the first to the last string that it is the anchor of, each of these with `length` bytes. Equal windows around an anchor are one class, of which two
 places, the first and the last, go on; of other windows each.
 
 The windows of an anchor meet in a task. There each window is parsed into phrases, cut where the least of some neighbouring
@@ -12,7 +13,7 @@ refinement: the interleave says from which shard each suffix in the merged order
 in its own order as the interleave calls for it, and deals the interleave stably by the symbols read, which makes it right
 for one phrase more. Orders within a shard come from its transform alone and no suffix is sorted again. The pass in which
 two neighbours part gives their common prefix, in phrases; intervals in which it reaches the phrases that a string of
-`length` bytes has at least are repeated ones, and only strings in them are compared, by the hash of their whole bytes.
+either size has at least are repeated ones, and only strings in them are compared, by the hash of their whole bytes.
 """
 
 from __future__ import annotations
@@ -74,11 +75,15 @@ def distinct(ascending: np.ndarray) -> np.ndarray:
     return ascending[np.r_[True, ascending[1:] != ascending[:-1]]] if len(ascending) else ascending
 
 
-def phrase_width(length: int) -> tuple[int, int]:
-    """(w, depth): phrases are cut at the least of w grams; every string of `length` bytes has `depth` phrases that its own
-    bytes settle: cuts w - 1 bytes or more from its begin and w + PHRASE_GRAM - 2 from its end, at most w apart."""
-    w = max(2, min(32, (length - PHRASE_GRAM) // 8))
-    return w, (length - PHRASE_GRAM - 2 * w + 3) // w - 1
+def phrase_width(length: int) -> int:
+    """Grams of which the least cuts a phrase, where strings of `length` bytes are the shortest that matter."""
+    return max(2, min(32, (length - PHRASE_GRAM) // 8))
+
+
+def settled_phrases(length: int, w: int) -> int:
+    """Phrases of a string of `length` bytes that its own bytes settle, at least: cuts w - 1 bytes or more from its begin and
+    w + PHRASE_GRAM - 2 from its end, at most w apart."""
+    return (length - PHRASE_GRAM - 2 * w + 3) // w - 1
 
 
 def suffix_order(rank: np.ndarray) -> np.ndarray:
@@ -139,19 +144,22 @@ def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_starts(windows: list[bytes], places: np.ndarray, length: int) -> np.ndarray:
-    """Positions in the joined windows at which a string of `length` bytes starts that starts at another place too.
+def repeated_starts(windows: list[bytes], begins: np.ndarray, owners: np.ndarray, length: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the joined windows at which a string starts that starts elsewhere too: strings of `length` bytes that do at
+    another place, strings of `passage` bytes, no longer, that do in another document.
 
-    places: of each window's first byte, so that windows that overlap in a document don't repeat each other.
+    begins, owners: place of each window's first byte in its document, and the document's number, so that windows that
+    overlap in a document don't repeat each other.
     """
-    w, depth = phrase_width(length)
+    w = phrase_width(passage)
+    depths = settled_phrases(length, w), settled_phrases(passage, w)
     sizes = np.array([len(x) for x in windows], np.int64)
     end = np.cumsum(sizes)
     start = end - sizes
     data = np.frombuffer(b"".join(windows), np.uint8)
     none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none
+    if len(data) < passage:
+        return none, none
     hashes = PrefixHash(data)
     window = np.repeat(np.arange(len(windows), dtype=np.int32), sizes)
     room = end[window] - np.arange(len(data))
@@ -159,7 +167,7 @@ def repeated_starts(windows: list[bytes], places: np.ndarray, length: int) -> np
     cuts = distinct(least[room[: len(least)] >= w - 1 + PHRASE_GRAM])
     inside = np.flatnonzero(window[cuts[1:]] == window[cuts[:-1]])  # phrases begin at these cuts and end at the next
     if not len(inside):
-        return none
+        return none, none
     begin = cuts[inside]
     symbol = np.unique(hashes.spans(begin, cuts[inside + 1]), return_inverse=True)[1] + 1
     mine = window[begin]
@@ -168,31 +176,38 @@ def repeated_starts(windows: list[bytes], places: np.ndarray, length: int) -> np
     at = np.insert(begin, ends, -1)
     borders = np.r_[0, np.flatnonzero(np.diff(start[mine[ends - 1]] // SHARD)) + 1, len(ends)]
     edges = np.r_[0, ends + np.arange(1, len(ends) + 1)][borders]
-    order, common = merged([Shard(symbols[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], depth)
-    first = np.flatnonzero(common < depth)
+    order, common = merged([Shard(symbols[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], max(depths))
     cut = at[order]
-    place = np.where(cut >= 0, places[window[cut]] + cut - start[window[cut]], -1)
-    several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
-    live = np.sort(cut[np.repeat(several, np.diff(np.r_[first, len(order)]))])  # cuts in repeated intervals
-    # A string's interval is that of its first cut w - 1 bytes or more from its begin.
-    before = cuts[np.maximum(np.searchsorted(cuts, live) - 1, 0)]
-    low = start[window[live]]
-    low = np.where((before < live) & (before >= low), np.maximum(low, before - w + 2), low)
-    high = np.minimum(live - w + 1, end[window[live]] - length)
-    count = np.maximum(0, high - low + 1)
-    starts = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-    if not len(starts):
-        return none
-    whole = hashes.windows(length)[starts]
-    by = np.argsort(whole)
-    starts, whole = starts[by], whole[by]
-    first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
-    place = places[window[starts]] + starts - start[window[starts]]
-    several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
-    return starts[np.repeat(several, np.diff(np.r_[first, len(starts)]))]
-
-
-def _find(length: int):
+    number = owners.astype(np.int64) << PLACE_BITS + 20
+    places = number + begins
+
+    def found(size: int, depth: int, base: np.ndarray, moves: int) -> np.ndarray:
+        """base: of each window, what tells places apart; moves: 1 if it counts bytes within the window, else 0."""
+        first = np.flatnonzero(common < depth)
+        place = np.where(cut >= 0, base[window[cut]] + moves * (cut - start[window[cut]]), -1)
+        several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
+        live = np.sort(cut[np.repeat(several, np.diff(np.r_[first, len(order)]))])  # cuts in repeated intervals
+        # A string's interval is that of its first cut w - 1 bytes or more from its begin.
+        before = cuts[np.maximum(np.searchsorted(cuts, live) - 1, 0)]
+        low = start[window[live]]
+        low = np.where((before < live) & (before >= low), np.maximum(low, before - w + 2), low)
+        high = np.minimum(live - w + 1, end[window[live]] - size)
+        count = np.maximum(0, high - low + 1)
+        starts = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        if not len(starts):
+            return none
+        whole = hashes.windows(size)[starts]
+        by = np.argsort(whole)
+        starts, whole = starts[by], whole[by]
+        first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+        place = base[window[starts]] + moves * (starts - start[window[starts]])
+        several = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
+        return starts[np.repeat(several, np.diff(np.r_[first, len(starts)]))]
+
+    return found(length, depths[0], places, 1), found(passage, depths[1], number, 0)
+
+
+def _find(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "win", "id", "pos", "head", "size"]
         for batch in batches:
@@ -202,11 +217,11 @@ def _find(length: int):
                 out: dict[str, list] = {k: [] for k in names}
                 for i in range(lo, min(lo + 500, len(ids))):
                     text = data[offsets[i] : offsets[i + 1]]
-                    pos, begin, end = anchors(text, length)
+                    pos, begin, end = anchors(text, passage)
                     if not len(pos):
                         continue
                     raw = text.tobytes()
-                    end = end + length
+                    end = np.minimum(end + length, len(raw))
                     head = pos - begin
                     spans = list(zip(begin.tolist(), end.tolist(), pos.tolist(), strict=True))
                     out["anchor"].append(np.array([xxhash.xxh3_64_intdigest(raw[p : p + GRAM]) for _, _, p in spans], np.uint64))
@@ -235,22 +250,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(kinds)], names=names)
 
 
-def _merge(length: int):
+def _merge(length: int, passage: int):
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         windows = [r[5] for r in rows]
         number = {d: i for i, d in enumerate(sorted({r[2:4] for r in rows}))}
-        places = np.array([(number[r[2:4]] << 40) + r[4] for r in rows], np.int64)
-        starts = np.sort(repeated_starts(windows, places, length))
+        owners = np.array([number[r[2:4]] for r in rows], np.int64)
         borders = np.cumsum([0, *(len(w) for w in windows)])
-        edges = np.searchsorted(starts, borders)
+        both = []
+        for starts, size in zip(repeated_starts(windows, np.array([r[4] for r in rows], np.int64), owners, length, passage), (length, passage), strict=True):
+            starts = np.sort(starts)
+            both.append((starts, np.searchsorted(starts, borders), size))
         out = []
         for i, r in enumerate(rows):
-            mine = starts[edges[i] : edges[i + 1]] - borders[i]
-            if len(mine):
-                a, b = runs_of(mine, mine + length)
-                out.append((r[0], r[1], a.astype(np.int32).tobytes(), b.astype(np.int32).tobytes()))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["anchor", "win", "a", "b"])
+            runs = [runs_of(x, x + size) for x, size in ((starts[edges[i] : edges[i + 1]] - borders[i], size) for starts, edges, size in both)]
+            if any(len(a) for a, _ in runs):
+                out.append((r[0], r[1], *(x.astype(np.int32).tobytes() for run in runs for x in run)))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["anchor", "win", "a", "b", "c", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -268,11 +284,11 @@ def _merge(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int, id_col: str, text_col: str) -> DataFrame:
-    """id, spans (array of base, a, b: int32 bytes): ranges of bytes to remove, for documents that have any."""
+def repeated_spans(docs: DataFrame, *, length: int, passage: int, id_col: str, text_col: str) -> DataFrame:
+    """id, spans (array of base, a, b, c, d: int32 bytes): ranges of bytes to remove, and of shared passages."""
     spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(source.mapInArrow(_find(length), "anchor long, win long, id long, pos int, head int, size int"), "suffix_anchors")
+    found = materialize(source.mapInArrow(_find(length, passage), "anchor long, win long, id long, pos int, head int, size int"), "suffix_anchors")
     shared = materialize(found.groupBy(F.col("anchor").alias("anchor_")).agg(F.count("*").alias("n")).where("n > 1").select("anchor_"), "suffix_shared")
     live = materialize(found.join(shared, F.col("anchor") == F.col("anchor_")).drop("anchor_"), "suffix_live")
     discard(found, shared)
@@ -285,21 +301,23 @@ def repeated_spans(docs: DataFrame, *, length: int, id_col: str, text_col: str)
     # Rows that repeat an id repeat its text; one of them serves.
     texts = source.join(wins, F.col("id") == F.col("id_")).drop("id_").mapInArrow(_texts, "anchor long, win long, id long, again boolean, begin long, text binary")
     texts = texts.repartition(parallelism(spark), "anchor").sortWithinPartitions("anchor", "win")
-    marks = texts.mapInArrow(_merge(length), "anchor long, win long, a binary, b binary").dropDuplicates(["anchor", "win"])
-    marks = materialize(marks.select(F.col("anchor").alias("anchor_"), F.col("win").alias("win_"), "a", "b"), "suffix_marks")
+    marks = texts.mapInArrow(_merge(length, passage), "anchor long, win long, a binary, b binary, c binary, d binary").dropDuplicates(["anchor", "win"])
+    marks = materialize(marks.select(F.col("anchor").alias("anchor_"), F.col("win").alias("win_"), "a", "b", "c", "d"), "suffix_marks")
     hit = live.join(marks, (F.col("anchor") == F.col("anchor_")) & (F.col("win") == F.col("win_")))
-    return hit.groupBy("id").agg(F.collect_list(F.struct((F.col("pos") - F.col("head")).alias("base"), "a", "b")).alias("spans"))
+    return hit.groupBy("id").agg(F.collect_list(F.struct((F.col("pos") - F.col("head")).alias("base"), "a", "b", "c", "d")).alias("spans"))
 
 
-def dedup(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 of the UTF-8 bytes that are left, joined.
+def dedup(docs: DataFrame, *, length: int = 400, passage: int = 250, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 of the UTF-8 bytes that are left, joined, and n_shared.
 
-    A byte goes if a string of `length` bytes (more than 64) covers it that also starts anywhere else, in the same text
-    or another; all strings are judged on the input. Null and empty texts have no bytes. A row without id takes no part.
-    Rows that repeat an id must repeat its text; each counts as a place of its own. Other columns are ignored.
+    A byte goes if a string of `length` bytes covers it that also starts anywhere else, in the same text or another; all
+    strings are judged on the input. n_shared counts the bytes, whether they go or stay, that a string of `passage` bytes
+    (more than 64, and no more than `length`) covers which also starts in another document. Null and empty texts have no
+    bytes. A row without id takes no part. Rows that repeat an id must repeat its text; each counts as a document of its
+    own. Other columns are ignored; an empty table gives an empty one.
     """
-    spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).cast("string").alias("text"))
+    spans = repeated_spans(docs, length=length, passage=passage, id_col=id_col, text_col=text_col)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{text_col}`").cast("string").alias("text"))
     joined = rows.join(spans, F.col("id_") == F.col("id"), "left").select("id_", "text", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,14 +327,11 @@ def dedup(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_co
                 out = []
                 for i, text, spans_ in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     raw = (text or "").encode()
-                    a = [np.zeros(0, np.int64)]
-                    b = [np.zeros(0, np.int64)]
-                    for s in spans_ or []:
-                        a.append(s["base"] + np.frombuffer(s["a"], np.int32))
-                        b.append(s["base"] + np.frombuffer(s["b"], np.int32))
-                    left, gone, runs = cut_runs(raw, *runs_of(np.concatenate(a), np.concatenate(b)), whole_characters=False)
-                    out.append((i, len(raw), gone, runs, hashlib.sha256(left).hexdigest()))
-                kinds = [pa.int64()] * 4 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return joined.mapInArrow(apply, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                    a, b, c, d = (np.concatenate([np.zeros(0, np.int64), *(s["base"] + np.frombuffer(s[k], np.int32) for s in spans_ or [])]).astype(np.int64) for k in "abcd")
+                    left, gone, runs = cut_runs(raw, *runs_of(a, b), whole_characters=False)
+                    c, d = runs_of(c, d)
+                    out.append((i, len(raw), gone, runs, hashlib.sha256(left).hexdigest(), int((d - c).sum())))
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+
+    return joined.mapInArrow(apply, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")

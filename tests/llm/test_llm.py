@@ -535,13 +535,30 @@ def brute_suffix(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [400, 120, 70])
-def test_suffix(spark, docs, empty, length):
-    found = by_id(suffix.dedup(docs, length=length))
+def brute_shared(rows, size):
+    raw = {i: (t or "").encode() for i, t in rows}
+    seen = {}
+    for i, b in raw.items():
+        for p in range(len(b) - size + 1):
+            seen.setdefault(b[p : p + size], set()).add(i)
+    out = {}
+    for i, b in raw.items():
+        mask = np.zeros(len(b), bool)
+        for p in range(len(b) - size + 1):
+            if len(seen[b[p : p + size]]) > 1:
+                mask[p : p + size] = True
+        out[i] = int(mask.sum())
+    return out
+
+
+@pytest.mark.parametrize(("length", "passage"), [(400, 250), (400, 400), (120, 90), (70, 65)])
+def test_suffix(spark, docs, empty, length, passage):
+    found = by_id(suffix.dedup(docs, length=length, passage=passage))
     got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found.items()}
     want = brute_suffix(ROWS, length)
     assert sum(w[1] for w in want.values()) > 3000
     assert got == want
+    assert {i: r["n_shared"] for i, r in found.items()} == brute_shared(ROWS, passage)
     assert suffix.dedup(empty).count() == 0
 
 
@@ -582,25 +599,28 @@ def test_interleave_merge_on_random_strings():
 
 def test_repeated_starts_on_random_windows():
     r = random.Random(7)
-    for length in (64, 120, 400):
+    for length, passage in ((70, 65), (120, 80), (400, 250)):
         for _ in range(6):
             text = bytes(r.choice(b"abcdefg") for _ in range(3000)) + b"ab" * 500
-            windows, places = [], []
+            windows, begins, owners = [], [], []
             for i in range(14):
                 a = r.randrange(len(text) - length)
                 own = bytes(r.choice(b"xyz") for _ in range(r.randint(0, 300)))
                 windows.append(own + text[a : a + r.randint(length // 2, 2 * length)])
-                places.append(i << 40)
-            windows += [windows[3][50:], windows[5]]
-            places += [(3 << 40) + 50, 99 << 40]
-            seen = {}
-            at = 0
-            for w, p in zip(windows, places, strict=True):
-                for j in range(len(w) - length + 1):
-                    seen.setdefault(w[j : j + length], []).append((at + j, p + j))
-                at += len(w)
-            want = sorted(x for v in seen.values() if len({p for _, p in v}) > 1 for x, _ in v)
-            assert sorted(suffix.repeated_starts(windows, np.array(places), length)) == want
+                begins.append(0)
+                owners.append(i)
+            windows += [windows[3][50:], windows[5], windows[7]]
+            begins += [50, 0, 5000]
+            owners += [3, 99, 7]
+            for size, got in zip((length, passage), suffix.repeated_starts(windows, np.array(begins), np.array(owners), length, passage), strict=True):
+                seen = {}
+                at = 0
+                for w, p, o in zip(windows, begins, owners, strict=True):
+                    for j in range(len(w) - size + 1):
+                        seen.setdefault(w[j : j + size], []).append((at + j, (o, p + j) if size == length else o))
+                    at += len(w)
+                want = sorted(x for v in seen.values() if len({p for _, p in v}) > 1 for x, _ in v)
+                assert sorted(got) == want
 
 
 def test_substring(spark, docs, empty):
