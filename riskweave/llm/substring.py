@@ -212,13 +212,18 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _surroundings(reach: int):
-    """The bytes of a text before or after each place that is asked for, `reach` or fewer."""
+    """The bytes of a text before or after each place that is asked for, `reach` or fewer; rows come in order of id, and rows
+    that repeat an id repeat its text: one of them serves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 out = []
                 for i, text, asked in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                    if i == last:
+                        continue
+                    last = i
                     raw = (text or "").encode()
                     out += [(i, r["place"], r["after"], raw[r["place"] : r["place"] + reach] if r["after"] else raw[max(0, r["place"] - reach) : r["place"]]) for r in asked or []]
                 kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
@@ -236,10 +241,9 @@ def segment_ends(texts: DataFrame, spans: DataFrame, *, reach: int) -> DataFrame
     discard(spans)
     asked = ends.groupBy("owner").agg(F.collect_set(F.struct("place", "after")).alias("asked"))
     near = texts.join(asked.hint("merge"), F.col("key") == F.col("owner")).select("key", "text", "asked").mapInArrow(_surroundings(reach), "owner_ long, place_ int, after_ boolean, near binary")
-    # Rows that repeat an id repeat its text; one of them serves.
-    near = near.groupBy("owner_", "place_", "after_").agg(F.first("near").alias("near"))
+    # Without an aggregate on either side, so that Spark can split the copies of one passage among tasks.
     found = ends.join(near.hint("merge"), (F.col("owner") == F.col("owner_")) & (F.col("place") == F.col("place_")) & (F.col("after") == F.col("after_")))
-    return found.groupBy("id").agg(F.collect_list(F.struct("a", "b", "after", "near")).alias("ends"))
+    return found.groupBy("id").agg(F.collect_set(F.struct("a", "b", "after", "near")).alias("ends"))
 
 
 def alike(x: bytes, y: bytes) -> int:
