@@ -57,3 +57,41 @@ def _closes(pattern: str, i: int) -> bool:
     """Does the brace at i end a quantifier."""
     start = pattern.rfind("{", 0, i)
     return start > 0 and pattern[start - 1] != "\\" and all(c in "0123456789," for c in pattern[start + 1 : i]) and i > start + 1
+
+
+def needed_literals(pattern: str, ignore_case: bool = False) -> list[str] | None:
+    """Texts of which every match of the pattern contains one, lower-cased with ignore_case; None if there are no useful ones.
+
+    Of the parts of a sequence the best counts, alternatives add up, and what may be absent says nothing.
+    """
+    from re import _constants as op
+    from re import _parser
+
+    fold = str.lower if ignore_case else str
+
+    def better(a: list[str] | None, b: list[str] | None) -> list[str] | None:
+        rank = lambda x: (0,) if x is None else (min(map(len, x)), -len(x))
+        return a if rank(a) >= rank(b) else b
+
+    def of(items) -> list[str] | None:
+        best, run = None, ""
+        for kind, value in items:
+            if kind is op.LITERAL:
+                run += fold(chr(value))
+                continue
+            best, run = better(best, [run] if run else None), ""
+            inner = None
+            if kind is op.BRANCH:
+                parts = [of(x) for x in value[1]]
+                inner = None if None in parts else [x for p in parts for x in p]
+            elif kind is op.SUBPATTERN:
+                inner = of(value[3])
+            elif kind is op.MAX_REPEAT and value[0] >= 1:
+                inner = of(value[2])
+                if inner and len(inner) == 1 and len(value[2]) == 1 and value[2][0][0] is op.LITERAL:
+                    inner = [inner[0] * value[0]]
+            best = better(best, inner)
+        return better(best, [run] if run else None)
+
+    found = of(_parser.parse(pattern))
+    return None if found is None or min(map(len, found)) < 2 else sorted(set(found))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,7 +12,7 @@ from pyspark.sql.window import Window as W
 from riskweave.functions import paths
 from riskweave.functions.catalog import BY_ID, SEQUENCE
 from riskweave.functions.catalog_values import LINE_RULES
-from riskweave.functions.dialect import translate
+from riskweave.functions.dialect import needed_literals, translate
 from riskweave.functions.scalars import number, trim, truncate, utf16_length
 from riskweave.operators.entropy import best_finding
 from riskweave.plans.config import Config
@@ -24,6 +27,9 @@ def _fires(rule: dict) -> Column:
         cond = (F.length("raw") >= 250) & (utf16_length(F.col("raw")) >= 500) & ~F.col("raw").rlike(r"[\n\r\x{2028}\x{2029}]")
     else:
         cond = F.col(view).rlike(translate(rule["pattern"], rule["ignore_case"]))
+        literals = needed_literals(rule["pattern"], rule["ignore_case"])
+        if literals:  # a search for plain texts costs a small part of the pattern's
+            cond = reduce(or_, [F.col(f"low_{view}" if rule["ignore_case"] else view).contains(x) for x in literals]) & cond
     cond = (F.col(view) != "") & cond
     return F.col(rule["files"]) & cond if rule["files"] else cond
 
@@ -40,13 +46,16 @@ def line_candidates(views: DataFrame, files: DataFrame, config: Config) -> DataF
         return _scanned(views, files).where(F.lit(False)).select("diff_id", F.lit("").alias("rule_id"), F.lit(0).alias("seq"), "file_idx", "added_idx", "path", F.col("n").alias("line"), F.col("raw").alias("snippet"), F.lit(None).cast("string").alias("detail"))
     fired = F.array(*[F.when(_fires(r), F.lit(SEQUENCE.index(r["id"]))) for r in rules])
     ids = F.array(*map(F.lit, SEQUENCE))
-    df = _scanned(views, files).withColumn("seq", F.explode(F.filter(fired, lambda x: x.isNotNull())))
+    df = _scanned(views, files).withColumns({f"low_{c}": F.lower(c) for c in ("raw", "code", "strings_view", "comment")})
+    df = df.withColumn("seq", F.explode(F.filter(fired, lambda x: x.isNotNull())))
     return df.select("diff_id", F.get(ids, F.col("seq")).alias("rule_id"), "seq", "file_idx", "added_idx", "path", F.col("n").alias("line"), truncate(trim(F.col("raw")), 160).alias("snippet"), F.lit(None).cast("string").alias("detail"))
 
 
 def entropy_candidates(views: DataFrame, files: DataFrame) -> DataFrame:
     best = best_finding(F.col("string_list"))
-    df = _scanned(views, files).where(F.length("strings_view") >= 20).withColumn("best", best).where("best is not null")
+    # A finding has a run of 18 such characters at least: few lines have one, and only those are taken apart.
+    likely = views.where((F.length("strings_view") >= 20) & F.col("strings_view").rlike(r"[A-Za-z0-9+/_\-]{18}"))
+    df = _scanned(likely, files).withColumn("best", best).where("best is not null")
     detail = F.concat(F.lit("entropy "), number(F.col("best.entropy")), F.lit(" bits/char"))
     return df.select("diff_id", F.lit("entropy-secret").alias("rule_id"), F.lit(SEQUENCE.index("entropy-secret")).alias("seq"), "file_idx", "added_idx", "path", F.col("n").alias("line"), truncate(trim(F.col("raw")), 160).alias("snippet"), detail.alias("detail"))
 

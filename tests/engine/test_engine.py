@@ -319,3 +319,13 @@ def test_input_size(spark):
 
     rows = {r["diff_id"]: (r["n_lines"], r["n_chars"]) for r in input_size(from_texts(spark, {"a": "x\ny\U0001f600", "b": " \n ", "c": ""})).collect()}
     assert rows == {"a": (2, 5), "b": (0, 0), "c": (0, 0)}
+
+
+def test_needed_literals():
+    from riskweave.functions.catalog_values import LINE_RULES
+    from riskweave.functions.dialect import needed_literals
+
+    assert needed_literals(r"\bAKIA[0-9A-Z]{16}\b") == ["AKIA"]
+    assert needed_literals(r"(?:foo|bar)x?|Q{3}z", True) == ["bar", "foo", "qqq"]
+    assert needed_literals(r"[ab]c?") is None and needed_literals(r"a|b") is None and needed_literals(r"(?:abc)?d") is None
+    assert sum(needed_literals(r["pattern"], r["ignore_case"]) is not None for r in LINE_RULES) >= 30
