@@ -855,3 +855,24 @@ def test_pipeline_stages_of_an_empty_table(spark, empty, stage):
     import corpus_pipeline
 
     assert corpus_pipeline.STAGES[stage][1](spark, empty, SF).count() == 0
+
+
+CLASHING = ["id", "key", "row", "n", "part", "unit", "anchor", "win", "spans", "ends", "size", "s", "block", "token", "component", "host", "w", "v", "dim", "norm", "whole", "digest", "member", "score", "n_bytes", "n_removed", "taken", "a.b"]
+
+
+@pytest.mark.parametrize("name", ["bpe", "quality", "mixing", "jaccard", "suffix", "substring", "topk", "warc"])
+def test_extra_columns_with_clashing_names_change_nothing(spark, docs, name):
+    from pyspark.sql import functions as F
+
+    tables = {
+        "topk": spark.createDataFrame([(i, [float(i % 7), 1.5, float(-i)]) for i in range(60)], "vec_id long, embedding array<float>"),
+        "warc": spark.createDataFrame([(i, "u", "p" * (i % 3) * 80) for i in range(12)], "page_id long, url string, html string"),
+    }
+    run = {
+        "bpe": lambda d: bpe.encode_documents(d, queries.vocabulary()), "quality": quality.quality, "mixing": lambda d: mixing.mix(d, block=4, shard=16), "jaccard": jaccard.jaccard_links, "suffix": suffix.dedup,
+        "substring": substring.dedup, "topk": topk.top_k, "warc": warc.archive_and_read,
+    }[name]
+    plain = tables.get(name, docs.select("doc_id", "text", "source").where("doc_id < 30"))
+    wide = plain.select("*", *[F.lit(f"clash {c}").alias(c) for c in CLASHING])
+    show = lambda df: sorted((tuple(r) for r in df.drop("date").collect()), key=str)
+    assert show(run(wide)) == show(run(plain))
