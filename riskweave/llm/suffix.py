@@ -14,6 +14,9 @@ in its own order as the interleave calls for it, and deals the interleave stably
 for one phrase more. Orders within a shard come from its transform alone and no suffix is sorted again. The pass in which
 two neighbours part gives their common prefix, in phrases; intervals in which it reaches the phrases that a string of
 either size has at least are repeated ones, and only strings in them are compared, by the hash of their whole bytes.
+
+An anchor with more than `crowd` windows would be too much for a task: the strings of its windows are told apart by the
+same hashes in an aggregation of the whole cluster, without a merge.
 """
 
 from __future__ import annotations
@@ -284,7 +287,56 @@ def _merge(length: int, passage: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int, passage: int, id_col: str, text_col: str) -> DataFrame:
+def _strings(length: int, passage: int):
+    """The hash of each string of either size in each window, and where it starts in the window and in its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "win", "id", "again", "full", "h", "at", "place"]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                out: list[list[np.ndarray]] = [[] for _ in names]
+                for anchor, win, doc, again, begin, text in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns), strict=True):
+                    hashes = PrefixHash(np.frombuffer(text, np.uint8))
+                    for size, full in ((length, True), (passage, False)):
+                        h = hashes.windows(size).view(np.int64)
+                        at = np.arange(len(h))
+                        values = (anchor, win, doc, again, full)
+                        for k, v in enumerate((*(np.full(len(h), x) for x in values), h, at.astype(np.int32), begin + at)):
+                            out[k].append(v)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+
+    return run
+
+
+def _marks(length: int, passage: int):
+    """Runs of the strings of a window, from where they start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(0), batch.column(1)]
+            for size, lists in ((length, batch.column(2)), (passage, batch.column(3))):
+                runs = [runs_of(x, x + size) for x in (np.sort(np.array(v, np.int64)) for v in lists.to_pylist())]
+                columns += [pa.array([r[k].astype(np.int32).tobytes() for r in runs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "win", "a", "b", "c", "d"])
+
+    return run
+
+
+MARKS = "anchor long, win long, a binary, b binary, c binary, d binary"
+
+
+def crowded_marks(texts: DataFrame, length: int, passage: int) -> DataFrame:
+    """What the merge gives, for windows of anchors with too many of them."""
+    strings = materialize(texts.mapInArrow(_strings(length, passage), "anchor long, win long, id long, again boolean, full boolean, h long, at int, place long"), "suffix_strings")
+    tells = F.struct("id", "again", F.when(F.col("full"), F.col("place")).otherwise(0))
+    repeated = strings.groupBy(F.col("full").alias("full_"), F.col("h").alias("h_")).agg(F.min(tells).alias("lo"), F.max(tells).alias("hi")).where("lo != hi").select("full_", "h_")
+    found = strings.join(materialize(repeated, "suffix_repeated").hint("merge"), (F.col("full") == F.col("full_")) & (F.col("h") == F.col("h_")))
+    by = found.groupBy("anchor", "win").agg(F.collect_set(F.when(F.col("full"), F.col("at"))).alias("long"), F.collect_set(F.when(~F.col("full"), F.col("at"))).alias("short"))
+    return by.mapInArrow(_marks(length, passage), MARKS)
+
+
+def repeated_spans(docs: DataFrame, *, length: int, passage: int, crowd: int, id_col: str, text_col: str) -> DataFrame:
     """id, spans (array of base, a, b, c, d: int32 bytes): ranges of bytes to remove, and of shared passages."""
     spark = docs.sparkSession
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -294,20 +346,31 @@ def repeated_spans(docs: DataFrame, *, length: int, passage: int, id_col: str, t
     discard(found, shared)
     place = F.struct("id", (F.col("pos") - F.col("head")).cast("long").alias("begin"), "size")
     classes = live.groupBy("anchor", "win").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    classes = materialize(classes, "suffix_classes")
+    crowds = classes.groupBy(F.col("anchor").alias("anchor_")).agg(F.sum(F.least("n", F.lit(2))).alias("m")).where(F.col("m") > crowd).select("anchor_")
+    crowds = materialize(crowds, "suffix_crowds")
     # Rows that repeat an id are places of their own: `again` tells two that have all else in common.
     pair = F.array(F.struct("lo.*", F.lit(False).alias("again")), F.struct("hi.*", (F.col("lo") == F.col("hi")).alias("again")))
-    wins = classes.select("anchor", "win", F.explode(F.when(F.col("n") > 1, pair).otherwise(F.slice(pair, 1, 1))).alias("w"))
-    wins = wins.groupBy(F.col("w.id").alias("id_")).agg(F.collect_list(F.struct("anchor", "win", "w.again", "w.begin", "w.size")).alias("wins"))
-    # Rows that repeat an id repeat its text; one of them serves.
-    texts = source.join(wins, F.col("id") == F.col("id_")).drop("id_").mapInArrow(_texts, "anchor long, win long, id long, again boolean, begin long, text binary")
+
+    def windows_of(some: DataFrame) -> DataFrame:
+        wins = some.select("anchor", "win", F.explode(F.when(F.col("n") > 1, pair).otherwise(F.slice(pair, 1, 1))).alias("w"))
+        wins = wins.groupBy(F.col("w.id").alias("id_")).agg(F.collect_list(F.struct("anchor", "win", "w.again", "w.begin", "w.size")).alias("wins"))
+        # Rows that repeat an id repeat its text; one of them serves.
+        return source.join(wins, F.col("id") == F.col("id_")).drop("id_").mapInArrow(_texts, "anchor long, win long, id long, again boolean, begin long, text binary")
+
+    in_crowd = F.col("anchor") == F.col("anchor_")
+    some_crowd = not crowds.isEmpty()
+    texts = windows_of(classes.join(crowds, in_crowd, "left_anti") if some_crowd else classes)
     texts = texts.repartition(parallelism(spark), "anchor").sortWithinPartitions("anchor", "win")
-    marks = texts.mapInArrow(_merge(length, passage), "anchor long, win long, a binary, b binary, c binary, d binary").dropDuplicates(["anchor", "win"])
+    marks = texts.mapInArrow(_merge(length, passage), MARKS).dropDuplicates(["anchor", "win"])
+    if some_crowd:
+        marks = marks.unionByName(crowded_marks(windows_of(classes.join(crowds, in_crowd, "left_semi")), length, passage))
     marks = materialize(marks.select(F.col("anchor").alias("anchor_"), F.col("win").alias("win_"), "a", "b", "c", "d"), "suffix_marks")
     hit = live.join(marks, (F.col("anchor") == F.col("anchor_")) & (F.col("win") == F.col("win_")))
     return hit.groupBy("id").agg(F.collect_list(F.struct((F.col("pos") - F.col("head")).alias("base"), "a", "b", "c", "d")).alias("spans"))
 
 
-def dedup(docs: DataFrame, *, length: int = 400, passage: int = 250, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 400, passage: int = 250, crowd: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 of the UTF-8 bytes that are left, joined, and n_shared.
 
     A byte goes if a string of `length` bytes covers it that also starts anywhere else, in the same text or another; all
@@ -316,7 +379,7 @@ def dedup(docs: DataFrame, *, length: int = 400, passage: int = 250, id_col: str
     bytes. A row without id takes no part. Rows that repeat an id must repeat its text; each counts as a document of its
     own. Other columns are ignored; an empty table gives an empty one.
     """
-    spans = repeated_spans(docs, length=length, passage=passage, id_col=id_col, text_col=text_col)
+    spans = repeated_spans(docs, length=length, passage=passage, crowd=crowd, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{text_col}`").cast("string").alias("text"))
     joined = rows.join(spans, F.col("id_") == F.col("id"), "left").select("id_", "text", "spans")
 

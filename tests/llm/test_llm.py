@@ -551,9 +551,9 @@ def brute_shared(rows, size):
     return out
 
 
-@pytest.mark.parametrize(("length", "passage"), [(400, 250), (400, 400), (120, 90), (70, 65)])
-def test_suffix(spark, docs, empty, length, passage):
-    found = by_id(suffix.dedup(docs, length=length, passage=passage))
+@pytest.mark.parametrize(("length", "passage", "crowd"), [(400, 250, 20_000), (400, 400, 20_000), (120, 90, 20_000), (70, 65, 20_000), (400, 250, 3), (120, 120, 1)])
+def test_suffix(spark, docs, empty, length, passage, crowd):
+    found = by_id(suffix.dedup(docs, length=length, passage=passage, crowd=crowd))
     got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found.items()}
     want = brute_suffix(ROWS, length)
     assert sum(w[1] for w in want.values()) > 3000
