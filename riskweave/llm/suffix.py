@@ -247,29 +247,49 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             rows = []
-            for r in batch.slice(at, 200).to_pylist():
-                raw = (r["text"] or "").encode()
-                rows += [(w["anchor"], w["win"], r["id"], w["again"], w["begin"], raw[w["begin"] : w["begin"] + w["size"]]) for w in r["wins"]]
+            part = batch.slice(at, 200)
+            flat = part.column("wins").flatten()
+            wins = list(zip(*(flat.field(k).to_pylist() for k in ("anchor", "win", "again", "begin", "size")), strict=True))
+            seen = 0
+            for key, text, n in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), pa.compute.list_value_length(part.column("wins")).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                rows += [(anchor, win, key, again, begin, raw[begin : begin + size]) for anchor, win, again, begin, size in wins[seen : seen + n]]
+                seen += n
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(kinds)], names=names)
 
 
+def packed(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """int32 values as one binary entry for each of n rows; row ascends."""
+    ends = np.cumsum(np.r_[0, np.bincount(row, minlength=n)]).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())])
+
+
+def unpacked(entries: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of values of each entry, values) of what packed made, without nulls."""
+    ends = np.frombuffer(entries.buffers()[1], np.int32)[entries.offset : entries.offset + len(entries) + 1]
+    if not len(entries) or ends[-1] == ends[0]:
+        return np.zeros(len(entries), np.int64), np.zeros(0, np.int64)
+    return np.diff(ends) // 4, np.frombuffer(entries.buffers()[2], np.int32, (ends[-1] - ends[0]) // 4, ends[0]).astype(np.int64)
+
+
 def _merge(length: int, passage: int):
     def settle(rows: list[tuple]) -> pa.RecordBatch:
+        n = len(rows)
         windows = [r[5] for r in rows]
         number = {d: i for i, d in enumerate(sorted({r[2:4] for r in rows}))}
         owners = np.array([number[r[2:4]] for r in rows], np.int64)
         borders = np.cumsum([0, *(len(w) for w in windows)])
-        both = []
+        columns, some = [], np.zeros(n, bool)
         for starts, size in zip(repeated_starts(windows, np.array([r[4] for r in rows], np.int64), owners, length, passage), (length, passage), strict=True):
             starts = np.sort(starts)
-            both.append((starts, np.searchsorted(starts, borders), size))
-        out = []
-        for i, r in enumerate(rows):
-            runs = [runs_of(x, x + size) for x, size in ((starts[edges[i] : edges[i + 1]] - borders[i], size) for starts, edges, size in both)]
-            if any(len(a) for a, _ in runs):
-                out.append((r[0], r[1], *(x.astype(np.int32).tobytes() for run in runs for x in run)))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], names=["anchor", "win", "a", "b", "c", "d"])
+            window = np.searchsorted(borders, starts, "right") - 1
+            new = np.r_[True, (starts[1:] > starts[:-1] + size) | (window[1:] != window[:-1])] if len(starts) else np.zeros(0, bool)
+            last = np.r_[np.flatnonzero(new)[1:], len(starts)] - 1 if len(starts) else np.zeros(0, int)
+            window, a, b = window[new], starts[new], starts[last] + size
+            columns += [packed(window, a - borders[window], n), packed(window, b - borders[window], n)]
+            some[window] = True
+        whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *columns], names=["anchor", "win", "a", "b", "c", "d"])
+        return whole.filter(pa.array(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -383,18 +403,31 @@ def dedup(docs: DataFrame, *, length: int = 400, passage: int = 250, crowd: int
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{text_col}`").cast("string").alias("text"))
     joined = rows.join(spans, F.col("id_") == F.col("id"), "left").select("id_", "text", "spans")
 
+    def spread(spans: pa.Array, begin: str, end: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, begin, end) of the union of each row's runs."""
+        flat = spans.flatten()
+        row = np.repeat(np.arange(len(spans)), pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy())
+        base = flat.field("base").to_numpy()
+        (count, a), (_, b) = unpacked(flat.field(begin)), unpacked(flat.field(end))
+        at = (np.repeat(row, count) << 32) + np.repeat(base, count)  # rows far apart, so that one union serves them all
+        a, b = runs_of(at + a, at + b)
+        return a >> 32, a & 0xFFFFFFFF, b - (a & ~0xFFFFFFFF)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                n = part.num_rows
+                row, a, b = spread(part.column(2), "a", "b")
+                cut = np.searchsorted(row, np.arange(n + 1))
+                shared, c, d = spread(part.column(2), "c", "d")
                 out = []
-                for i, text, spans_ in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for i, text in enumerate(part.column(1).to_pylist()):
                     raw = (text or "").encode()
-                    a, b, c, d = (np.concatenate([np.zeros(0, np.int64), *(s["base"] + np.frombuffer(s[k], np.int32) for s in spans_ or [])]).astype(np.int64) for k in "abcd")
-                    left, gone, runs = cut_runs(raw, *runs_of(a, b), whole_characters=False)
-                    c, d = runs_of(c, d)
-                    out.append((i, len(raw), gone, runs, hashlib.sha256(left).hexdigest(), int((d - c).sum())))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+                    left, gone, runs = cut_runs(raw, a[cut[i] : cut[i + 1]], b[cut[i] : cut[i + 1]], whole_characters=False) if cut[i + 1] > cut[i] else (raw, 0, 0)
+                    out.append((len(raw), gone, runs, hashlib.sha256(left).hexdigest()))
+                columns = [pa.array([r[j] for r in out], t) for j, t in enumerate([pa.int64()] * 3 + [pa.string()])]
+                columns = [part.column(0), *columns, pa.array(np.bincount(shared, (d - c).astype(float), n).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
     return joined.mapInArrow(apply, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
