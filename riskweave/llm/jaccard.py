@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -128,10 +129,10 @@ def document_counts(docs: DataFrame, width: int) -> DataFrame:
         held: list[tuple] = []
         part = None
         for batch in batches:
-            through = batch.filter(pa.compute.is_valid(batch.column("ids")))
+            through = batch.filter(pc.is_valid(batch.column("ids")))
             if through.num_rows:
                 yield through.select(["unit", "i", "ids", "n", "digests", "mine"])
-            for r in batch.filter(pa.compute.is_null(batch.column("ids"))).to_pylist():
+            for r in batch.filter(pc.is_null(batch.column("ids"))).to_pylist():
                 if held and part != r["part"]:
                     yield counted(held)
                     held = []

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -142,7 +143,7 @@ def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, mean: int, l
             through = batch.filter(batch.column("done"))
             if through.num_rows:
                 yield through.select(names)
-            for r in batch.filter(pa.compute.invert(batch.column("done"))).to_pylist():
+            for r in batch.filter(pc.invert(batch.column("done"))).to_pylist():
                 if held and held[0]["part"] != r["part"]:
                     yield from settled(held)
                     held = []

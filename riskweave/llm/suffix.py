@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -251,7 +252,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = part.column("wins").flatten()
             wins = list(zip(*(flat.field(k).to_pylist() for k in ("anchor", "win", "again", "begin", "size")), strict=True))
             seen = 0
-            for key, text, n in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), pa.compute.list_value_length(part.column("wins")).to_pylist(), strict=True):
+            for key, text, n in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), pc.list_value_length(part.column("wins")).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 rows += [(anchor, win, key, again, begin, raw[begin : begin + size]) for anchor, win, again, begin, size in wins[seen : seen + n]]
                 seen += n
@@ -406,7 +407,7 @@ def dedup(docs: DataFrame, *, length: int = 400, passage: int = 250, crowd: int
     def spread(spans: pa.Array, begin: str, end: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, begin, end) of the union of each row's runs."""
         flat = spans.flatten()
-        row = np.repeat(np.arange(len(spans)), pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy())
+        row = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
         base = flat.field("base").to_numpy()
         (count, a), (_, b) = unpacked(flat.field(begin)), unpacked(flat.field(end))
         at = (np.repeat(row, count) << 32) + np.repeat(base, count)  # rows far apart, so that one union serves them all
